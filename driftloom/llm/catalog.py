@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import decontam, langid, mixing, quality, secrets
 
-_MODULES = (secrets, mixing)
+_MODULES = (secrets, langid, quality, decontam, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -110,12 +110,13 @@ def chunks(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words ``[^\\x20\\x09-\\x0D]+``."""
+def words(buf: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the words ``[^\\x20\\x09-\\x0D]+``, or of the
+    runs of bytes that the table ``apart`` doesn't hold."""
     if not len(buf):
         e = np.empty(0, np.int64)
         return e, e, e
-    inside = ~_SPACE[buf]
+    inside = ~apart[buf]
     first = np.zeros(len(buf) + 1, bool)
     first[offs[:-1]] = True
     before = np.empty(len(buf), bool)
