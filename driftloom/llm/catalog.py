@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lm, mixing, quality, secrets
+from . import decontam, html, langid, lm, mixing, quality, secrets
 
-_MODULES = (secrets, langid, quality, lm, decontam, mixing)
+_MODULES = (secrets, langid, quality, html, lm, decontam, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
