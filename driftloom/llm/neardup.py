@@ -108,7 +108,7 @@ def _sets(n: int, shared):
             buf, offs = text_buffer(batch.column("text"))
             for i, j in chunks(offs):
                 got = [(_class_id(s), s) for s in shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n) if len(s)]
-                first = np.array([np.frombuffer(c, np.uint64)[0] for c, _ in got], np.uint64)
+                first = np.array([int.from_bytes(c[:8], "big") for c, _ in got], np.uint64)
                 got = [g for g, ok in zip(got, bitmap_has(shared.value, first, BITS), strict=True) if ok]
                 if got:
                     lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for _, s in got])].astype(np.int32), pa.array(np.concatenate([s for _, s in got]).view(np.int64)))
@@ -118,8 +118,8 @@ def _sets(n: int, shared):
 
 
 def _first_long(cid: Column) -> Column:
-    """The first eight bytes of a class id as the long that the bitmap holds."""
-    return F.conv(F.hex(F.reverse(F.substring(cid, 1, 8))), 16, -10).cast("long")
+    """The first eight bytes of a class id, big-endian, as the long that the bitmap holds."""
+    return F.conv(F.hex(F.substring(cid, 1, 8)), 16, -10).cast("long")
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, t: int, link: tuple[int, int]) -> DataFrame:
