@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontam, html, langid, lm, mixing, neardup, quality, secrets, substrings
+from . import ann, decontam, html, langid, lm, mixing, neardup, quality, secrets, substrings
 
-_MODULES = (secrets, neardup, langid, substrings, quality, html, lm, decontam, mixing)
+_MODULES = (secrets, neardup, ann, langid, substrings, quality, html, lm, decontam, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -122,22 +122,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(y[order], [i[k] for k in order], [s[k] for k in order])
 
 
+def _scores(text: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
+    buf, offs = text_buffer(text)
+    z = np.zeros(len(text))
+    for i, j in chunks(offs):
+        total, n = np.zeros((KINDS, j - i)), np.zeros((KINDS, j - i))
+        for k, f, row in features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+            total[k] += np.bincount(row, weight[f], j - i)
+            n[k] += np.bincount(row, minlength=j - i)
+        z[i:j] = (total / np.maximum(n, 1)).mean(0)
+    return 1 / (1 + np.exp(-(z + bias)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id", "held_out")) -> DataFrame:
     """The columns ``keep`` with score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = shared.value
         for batch in batches:
-            buf, offs = text_buffer(batch.column("__op6_text"))
-            z = np.zeros(batch.num_rows)
-            for i, j in chunks(offs):
-                total, n = np.zeros((KINDS, j - i)), np.zeros((KINDS, j - i))
-                for k, f, row in features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                    total[k] += np.bincount(row, weight[f], j - i)
-                    n[k] += np.bincount(row, minlength=j - i)
-                z[i:j] = (total / np.maximum(n, 1)).mean(0)
-            p = 1 / (1 + np.exp(-(z + bias)))
+            p = _scores(batch.column("__op6_text"), *shared.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(f"__op6_{k}") for k in range(len(keep))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=names)
 
     names = [f"__op6_{k}" for k in range(len(keep))] + ["score", "predicted"]
@@ -147,6 +150,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     return out.select(*(F.col(f"__op6_{i}").alias(k) for i, k in enumerate(keep)), "score", "predicted")
 
 
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(text_col), *shared.value) >= threshold))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     labels = load(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2)
