@@ -81,7 +81,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, wanted: list[str]) ->
     # Written as text and split, as a filter over an array would leave generated code and lower the text once a trigram.
     held = F.concat_ws(",", *(F.when(F.contains(low, F.lit(t)), F.lit(str(i))) for i, t in enumerate(wanted)))
     some = docs.select(_key(docs, id_col, text_col).alias(KEY), held.alias("held")).filter(F.col("held") != "")
-    return some.select(KEY, F.explode(F.split("held", ",")).cast("int").alias("posting"))
+    return some.select(KEY, F.explode(F.split("held", ",").cast("array<int>")).alias("posting"))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, rules=RULES) -> DataFrame:
