@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from driftloom.plans import core, joins, tables
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _m in (core, joins, tables):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
