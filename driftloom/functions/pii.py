@@ -34,20 +34,17 @@ FIRST = 20  # string values looked at
 NAME_ONLY, PATTERN_ONLY, BOTH = 0.6, 0.7, 0.95
 
 
-def segments(path: Column) -> Column:
-    return F.filter(F.split(F.lower(path), r"[.\[\]]+"), lambda s: s != "")
+def _whole(words, between: str) -> str:
+    """A regex for any of the words as a whole part between separators."""
+    return rf"(?:^|[{between}])(?:{'|'.join(words)})(?:[{between}]|$)"
 
 
-def _parts(path: Column) -> Column:
-    return F.flatten(F.transform(segments(path), lambda s: F.split(s, "_")))
+def _path_has(path: Column, words, between: str = r"._\[\]") -> Column:
+    return F.lower(path).rlike(_whole(words, between))
 
 
 def is_id_field(path: Column) -> Column:
-    return F.arrays_overlap(_parts(path), F.array(*map(F.lit, ID_WORDS)))
-
-
-def _any_holds(parts: Column, hint: str) -> Column:
-    return F.exists(parts, lambda s: F.contains(s, F.lit(hint)))
+    return _path_has(path, ID_WORDS)
 
 
 def _any_shows(path: Column, values: Column, category: str) -> Column:
@@ -56,11 +53,12 @@ def _any_shows(path: Column, values: Column, category: str) -> Column:
 
 def name_hit(path: Column, category: str) -> Column:
     """A hint of up to four characters must be a whole segment, others a part of one."""
-    segs = segments(path)
-    out = F.lit(False)
-    for hint in NAME_HINTS.get(category, ()):
-        out = out | (F.array_contains(segs, hint) if len(hint) <= 4 else _any_holds(segs, hint))
-    return out
+    hints = NAME_HINTS.get(category, ())
+    if not hints:
+        return F.lit(False)
+    short, long = [h for h in hints if len(h) <= 4], [h for h in hints if len(h) > 4]
+    ways = ([_whole(short, r".\[\]")] if short else []) + long
+    return F.lower(path).rlike("|".join(ways))
 
 
 def looks_like_ip(v: Column) -> Column:
@@ -81,10 +79,10 @@ def looks_like_phone(v: Column) -> Column:
 def value_hit(path: Column, v: Column, category: str) -> Column:
     """Whether one string value shows the category in a field of this path."""
     if category == "card_number":
-        ids = is_id_field(path) & ~F.arrays_overlap(_parts(path), F.array(*map(F.lit, CARD_WORDS)))
+        ids = is_id_field(path) & ~_path_has(path, CARD_WORDS)
         return ~ids & v.rlike(CARD)
     if category == "date_of_birth":
-        return v.rlike(DOB) & F.exists(segments(path), lambda s: F.exists(F.array(*map(F.lit, DOB_WORDS)), lambda h: F.contains(s, h)))
+        return v.rlike(DOB) & F.lower(path).rlike("|".join(DOB_WORDS))
     rules = {"email": v.rlike(EMAIL), "phone": looks_like_phone(v), "passport": v.rlike(PASSPORT), "ip_address": looks_like_ip(v), "national_id": v.rlike(SSN) | v.rlike(AADHAAR)}
     return rules.get(category, F.lit(False))
 

@@ -56,18 +56,22 @@ def policy_action(tier_: Column, policy: dict[int, str] | None = None) -> Column
 
 
 def observe(cells: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
-    """What the tests need of each observed field, in one row."""
+    """What the tests need of each observed field, in one row: its presence, and the
+    types and strings of its first values, at most ``FIRST_HISTOGRAM`` a field."""
     on = [*keys, "path"]
-    rows = profile.presence(cells, events, keys)
-    t = profile.field_types(cells, keys, FIRST_TYPES).withColumnRenamed("field_type", "new_type")
-    values = cells.filter(F.col("kind") != "null")
-    ordered = profile.first_n(values, on, FIRST_HISTOGRAM, ["seq"]).withColumn("t", types.semantic(F.col("kind"), F.col("text")))
-    hist = ordered.groupBy(*on, "t").agg(F.count("*").alias("c")).groupBy(*on).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "c")))).alias("histogram"))
-    strings = values.filter(F.col("kind") == "string")
-    first = profile.first_n(strings, on, pii.FIRST, ["seq"]).groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("strings"))
-    out = rows.join(t, on, "left").join(hist, on, "left").join(first, on, "left")
+    values = cells.filter(F.col("kind") != "null").select(*on, "seq", "kind", "text")
+    w = Window.partitionBy(*on).orderBy("seq")
+    first = values.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= FIRST_HISTOGRAM)
+    first = first.withColumn("t", types.semantic(F.col("kind"), F.col("text")))
+    got = first.groupBy(*on).agg(
+        types.of_values(F.collect_set(F.when(F.col("nth") <= FIRST_TYPES, F.col("t")))).alias("new_type"),
+        F.collect_list("t").alias("ts"),
+        F.transform(F.array_sort(F.collect_list(F.when((F.col("nth") <= pii.FIRST) & (F.col("kind") == "string"), F.struct("nth", "text")))), lambda x: x["text"]).alias("strings"),
+    )
+    hist = F.map_from_entries(F.transform(F.array_distinct("ts"), lambda t: F.struct(t, F.size(F.filter("ts", lambda x: x == t)).cast("long"))))
+    out = profile.presence(cells, events, keys).join(got, on, "left")
     found = pii.categories(pii.detect(F.col("path"), F.coalesce("strings", F.array().cast("array<string>"))))
-    return out.withColumn("new_pii", found).drop("strings")
+    return out.withColumn("histogram", hist).withColumn("new_type", F.coalesce("new_type", F.lit("null"))).withColumn("new_pii", found).drop("strings", "ts")
 
 
 def enum_novelty(cells: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,6 +94,8 @@ def detect(baseline: DataFrame, cells: DataFrame, events: DataFrame, keys: list[
     base = baseline.select(*on, F.col("field_type").alias("old_type"), F.col("presence").alias("before"), F.coalesce("enum", F.array().cast("array<string>")).alias("enum"), F.coalesce("pii", F.array().cast("array<string>")).alias("old_pii"), F.lit(True).alias("known"))
     seen = observe(cells, events, keys)
     j = base.join(seen, on, "full").join(enum_novelty(cells, base, keys), on, "left")
+    for c in ("old_pii", "new_pii", "enum"):
+        j = j.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     t = profile.totals(events, keys)
     j = (j.drop("total").join(t, keys, "left") if keys else j.drop("total").crossJoin(F.broadcast(t))).withColumn("total", F.coalesce("total", F.lit(0)))  # one row without keys
     after = F.coalesce("presence", F.lit(0.0))

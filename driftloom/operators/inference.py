@@ -30,12 +30,17 @@ def statistical(cells: DataFrame, events: DataFrame, keys: list[str] | None = No
     the catch-all types; 0.3 without any value."""
     keys = keys or []
     on = [*keys, "path"]
-    values = cells.filter(F.col("kind") != "null")
-    per = values.groupBy(*on, types.primitive(F.col("kind")).alias("t")).agg(F.count("*").alias("c"))
-    agreed = per.groupBy(*on).agg(F.max("c").alias("k"), F.sum("c").alias("n"), F.collect_set("t").alias("ts"))
-    texts = profile.first_n(values.filter(F.col("kind") == "string"), on, pii.FIRST, ["seq"]).groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("strings"))
-    rows = profile.presence(cells, events, keys).join(agreed, on, "left").join(profile.sample_values(cells, keys), on, "left").join(texts, on, "left")
-    kind = F.when(F.col("ts").isNull(), "null").when(F.size("ts") > 1, "mixed").otherwise(F.get("ts", F.lit(0)))
+    kinds = ("boolean", "integer", "float", "string", "array")
+    seen = cells.groupBy(*on).agg(F.count("*").alias("seen"), F.filter(F.array(*(F.struct(F.count_if(types.primitive(F.col("kind")) == t).alias("c"), F.lit(t).alias("t")) for t in kinds)), lambda x: x["c"] > 0).alias("ts"))
+    t = profile.totals(events, keys)
+    seen = seen.join(t, keys) if keys else seen.crossJoin(F.broadcast(t))  # one row without keys
+    w = Window.partitionBy(*on).orderBy("seq")
+    first = cells.filter(F.col("kind") != "null").select(*on, "seq", "kind", "text").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= pii.FIRST)
+    ordered = lambda hit: F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("nth", "text")))), lambda x: x["text"])
+    texts = first.groupBy(*on).agg(ordered(F.col("nth") <= 5).alias("samples"), ordered(F.col("kind") == "string").alias("strings"))
+    rows = seen.join(texts, on, "left").withColumn("presence", F.col("seen") / F.col("total"))
+    rows = rows.withColumn("k", F.array_max(F.transform("ts", lambda x: x["c"]))).withColumn("n", F.when(F.size("ts") > 0, F.aggregate("ts", F.lit(0).cast("long"), lambda s, x: s + x["c"])))
+    kind = F.when(F.size("ts") == 0, "null").when(F.size("ts") > 1, "mixed").otherwise(F.get("ts", F.lit(0))["t"])
     low, _ = stats.wilson(F.col("k"), F.col("n"))
     conf = F.when(F.col("n").isNull(), 0.3).otherwise(F.round(low, 4))
     conf = F.when(kind.isin("string", "integer"), F.least(conf, F.lit(0.7))).when(kind == "mixed", F.least(conf, F.lit(0.5))).otherwise(conf)

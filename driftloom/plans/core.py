@@ -226,7 +226,7 @@ def calibration_bins(spark, sf_dir):
 s AS (SELECT path, count(*) / (SELECT count(*) FROM ev) AS presence FROM cells GROUP BY path),
 t AS (SELECT path, presence, CASE WHEN n IS NULL THEN 'null' WHEN kinds > 1 THEN 'mixed' ELSE one END AS field_type, CASE WHEN n IS NULL THEN 0.3 ELSE round({_W('k', 'n', '-')}, 4) END AS c FROM s LEFT JOIN a USING (path))
 SELECT path, field_type, round(presence, 6) AS presence, presence >= 0.8 AS required, CASE WHEN field_type IN ('string', 'integer') THEN least(c, 0.7) WHEN field_type = 'mixed' THEN least(c, 0.5) ELSE c END AS confidence,
-CASE path WHEN 'user.email' THEN 'email' WHEN 'card' THEN 'card_number' ELSE '' END AS pii FROM t"""
+CASE path WHEN 'user.email' THEN 'email' WHEN 'card' THEN 'card_number,national_id' ELSE '' END AS pii FROM t"""
 )
 def statistical_inference(spark, sf_dir):
     f = inference.statistical(event_cells(spark, sf_dir, ("seq",)), events(spark, sf_dir))
@@ -261,7 +261,7 @@ def pii_scan(spark, sf_dir):
 
 
 @_b.query(
-    """SELECT * FROM (VALUES ('user.email', 'email', 0.95::DOUBLE, 'both'), ('card', 'card_number', 0.95::DOUBLE, 'both')) t(path, category, confidence, source)"""
+    """SELECT * FROM (VALUES ('user.email', 'email', 0.95::DOUBLE, 'both'), ('card', 'card_number', 0.95::DOUBLE, 'both'), ('card', 'national_id', 0.7::DOUBLE, 'pattern')) t(path, category, confidence, source)"""
 )
 def pii_fields(spark, sf_dir):
     c = event_cells(spark, sf_dir, ("seq",)).filter(F.col("kind") == "string")
@@ -289,7 +289,7 @@ def schema_fingerprint(spark, sf_dir):
 @_b.query(
     CELLS
     + f""", n AS (SELECT half, count(*) AS n FROM ev GROUP BY half), p AS (SELECT path, count(*) FILTER (half = 'baseline') / (SELECT n FROM n WHERE half = 'baseline') AS p0, count(*) FILTER (half = 'observed') AS k, (SELECT n FROM n WHERE half = 'observed') AS n FROM cells GROUP BY path HAVING count(*) FILTER (half = 'baseline') > 0),
-z AS (SELECT path, p0, k / n AS p1, CASE WHEN p0 >= 1 THEN CASE WHEN k = n THEN 1.0 ELSE 0.0 END ELSE {_P('(k/n-p0)*(k/n-p0)/(p0*(1-p0)/n)')} END AS p, (k / n - p0) * (k / n - p0) / (p0 * (1 - p0) / n) AS zz FROM p)
+z AS (SELECT path, p0, k / n AS p1, CASE WHEN p0 >= 1 THEN CASE WHEN k = n THEN 1.0 ELSE 0.0 END ELSE {_P('(k/n-p0)*(k/n-p0)/(p0*(1-p0)/n)')} END AS p, CASE WHEN p0 >= 1 THEN 0 ELSE (k / n - p0) * (k / n - p0) / (p0 * (1 - p0) / n) END AS zz FROM p)
 SELECT path, round(p0, 6) AS before, round(p1, 6) AS after, CASE WHEN p1 < 0.05 AND p0 >= 0.2 THEN 'field_removed' WHEN p1 < p0 THEN 'presence_drop' ELSE 'presence_increase' END AS drift_type FROM z WHERE (p1 < 0.05 AND p0 >= 0.2) OR (CASE WHEN zz > 57 THEN 0 ELSE p END) < 0.01"""
 )
 def drift_presence(spark, sf_dir):

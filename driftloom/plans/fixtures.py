@@ -83,4 +83,6 @@ def _spark_sql() -> str:
 
 
 def event_cells(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("seq", "half", "day", "event_type")) -> DataFrame:
-    return cells(events(spark, sf_dir), keep=keep, depth=DEPTH).drop("value")
+    """The cells, kept as most queries read them several times; equal plans share one copy."""
+    whole = cells(events(spark, sf_dir), keep=("seq", "half", "day", "event_type"), depth=DEPTH).drop("value").persist()
+    return whole.select(*keep, "path", "kind", "text")

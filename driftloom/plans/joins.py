@@ -1,2 +1,289 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries: lineage, history, incidents, evaluation, windows of time."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftloom.operators import drift, evaluation, history, incidents, lineage, profile
+from driftloom.plans.fixtures import CELLS, event_cells, events
+from driftloom.plans.registry import Book
+
+_b = Book()
+r6 = lambda c: F.round(c, 6)
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+# Declared consumers of the tables' fields: (stream, name, criticality, path, required).
+CONSUMERS = (
+    ("orders", "billing", "high", "o_totalprice", True),
+    ("orders", "billing", "high", "o_custkey", True),
+    ("orders", "reports", "low", "o_orderdate", False),
+    ("customer", "billing", "high", "c_custkey", True),
+    ("documents", "search", "medium", "text", True),
+    ("pages", "search", "medium", "url", False),
+    ("labels", "training", "high", "doc_id", True),
+    ("documents", "training", "high", "doc_id", True),
+)
+DRIFTS = (("o_totalprice", 3), ("o_orderdate", 2), ("doc_id", 2), ("doc_id", 3), ("url", 1))
+_values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x) for x in r) + ")" for r in rows)
+_USED = f"used AS (SELECT * FROM (VALUES {_values(CONSUMERS)}) t(stream, consumer, criticality, path, required)), drifts AS (SELECT * FROM (VALUES {_values(DRIFTS)}) t(path, tier))"
+_FIELDS = "fields AS (SELECT table_name AS stream, column_name AS path FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + "))"
+
+
+def _fields(spark, sf_dir):
+    rows = [(t, f.name, f.dataType.simpleString()) for t in TABLES for f in spark.read.parquet(f"{sf_dir}/{t}.parquet").schema]
+    return spark.createDataFrame(rows, "stream string, path string, field_type string")
+
+
+def _used(spark):
+    return spark.createDataFrame([(s, c, "team", k, p, r) for s, c, k, p, r in CONSUMERS], "stream string, consumer string, team string, criticality string, path string, required boolean")
+
+
+def _drifts(spark):
+    return spark.createDataFrame(list(DRIFTS), "path string, tier int")
+
+
+@_b.query(f"WITH {_FIELDS} SELECT path, string_agg(DISTINCT stream, ',' ORDER BY stream) AS streams, count(DISTINCT stream)::INT AS n_streams FROM fields GROUP BY path")
+def field_graph(spark, sf_dir):
+    return lineage.field_graph(_fields(spark, sf_dir)).select("path", F.array_join("streams", ",").alias("streams"), "n_streams")
+
+
+@_b.query("SELECT * FROM (VALUES ('label', 2, 'int,string')) t(path, n_streams, types) WHERE false")
+def inconsistencies(spark, sf_dir):
+    return lineage.inconsistencies(_fields(spark, sf_dir)).select("path", "n_streams", F.array_join("types", ",").alias("types"))
+
+
+@_b.query(f"WITH {_FIELDS} SELECT path FROM fields WHERE stream = 'documents' INTERSECT SELECT path FROM fields WHERE stream = 'conversations'")
+def shared_fields(spark, sf_dir):
+    return lineage.shared_fields(_fields(spark, sf_dir), "documents", "conversations")
+
+
+@_b.query(
+    f"""WITH {_USED}, w AS (SELECT path, max(tier) AS tier FROM drifts GROUP BY 1)
+SELECT consumer, criticality, max(tier) AS highest_tier, count(*) AS fields, count(*) FILTER (required AND tier = 3) AS hard_breaks, (CASE criticality WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END * max(tier))::INT AS score FROM used JOIN w USING (path) GROUP BY 1, 2"""
+)
+def blast_radius(spark, sf_dir):
+    return lineage.blast_radius(_drifts(spark), _used(spark))
+
+
+@_b.query(f"WITH {_USED} SELECT DISTINCT consumer FROM used WHERE consumer NOT IN (SELECT consumer FROM used WHERE path IN (SELECT path FROM drifts WHERE tier = 3))")
+def unaffected_consumers(spark, sf_dir):
+    return lineage.unaffected(_drifts(spark).filter("tier = 3"), _used(spark))
+
+
+@_b.query(f"WITH {_USED} SELECT stream, consumer, criticality, required FROM used WHERE path = 'doc_id'")
+def field_blast_radius(spark, sf_dir):
+    return lineage.field_blast_radius(_used(spark), "doc_id")
+
+
+@_b.query(f"WITH {_USED}, {_FIELDS} SELECT f.stream, f.path, coalesce(string_agg(DISTINCT consumer, ',' ORDER BY consumer), '') AS consumers FROM fields f LEFT JOIN used u ON u.stream = f.stream AND u.path = f.path WHERE f.path = 'doc_id' AND f.stream <> 'documents' GROUP BY 1, 2")
+def graph_blast_radius(spark, sf_dir):
+    g = lineage.graph_blast_radius(_fields(spark, sf_dir), _used(spark), "documents", "doc_id")
+    return g.select("stream", "path", F.array_join("consumers", ",").alias("consumers"))
+
+
+@_b.query("SELECT event_type AS consumer, 'f' || (user_id % 4) AS field, count(*) AS count, max(event_id) AS last_seen FROM events GROUP BY 1, 2")
+def observed_consumers(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    touched = e.select(F.lit("events").alias("stream"), F.col("event_type").alias("consumer"), F.concat(F.lit("f"), (F.col("user_id") % 4).cast("string")).alias("field"), F.col("event_id").alias("seen"))
+    return lineage.access_edges(touched).drop("stream")
+
+
+@_b.query(f"WITH {_USED}, o AS (SELECT 'documents' AS stream, 'text' AS path, 'search' AS consumer, count(*) AS n FROM documents UNION ALL SELECT 'documents', 'lang', 'router', count(lang) FROM documents) SELECT coalesce(u.stream, o.stream) AS stream, coalesce(u.path, o.path) AS path, coalesce(u.consumer, o.consumer) AS consumer, u.stream IS NOT NULL AS declared, coalesce(n, 0) AS count FROM used u FULL JOIN o ON u.stream = o.stream AND u.path = o.path AND u.consumer = o.consumer")
+def declared_and_observed(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    touch = lambda who, f: d.filter(F.col(f).isNotNull()).agg(F.count("*").alias("count")).select(F.lit("documents").alias("stream"), F.lit(who).alias("consumer"), F.lit(f).alias("field"), "count", F.lit(0).alias("last_seen"))
+    both = lineage.declared_and_observed(_used(spark), touch("search", "text").union(touch("router", "lang")))
+    return both.select("stream", "path", "consumer", "declared", "count")
+
+
+# -- history -----------------------------------------------------------------
+
+_SNAP = (
+    CELLS
+    + """, wk AS (SELECT *, day - ((dayofmonth(day) - 1) % 7)::INT AS week FROM cells), n AS (SELECT week, count(DISTINCT seq) AS n FROM wk GROUP BY 1),
+snap AS (SELECT week AS snapshot_date, path, count(*) / any_value(n) AS presence, count(*) FILTER (kind = 'string') AS strings FROM wk JOIN n USING (week) GROUP BY 1, 2)"""
+)
+
+
+def _snapshots(spark, sf_dir):
+    week = F.date_sub("day", (F.dayofmonth("day") - 1) % 7)
+    c = event_cells(spark, sf_dir, ("seq", "day")).withColumn("snapshot_date", week)
+    e = events(spark, sf_dir).withColumn("snapshot_date", week)
+    p = profile.presence(c, e, ["snapshot_date"])
+    cur = c.filter(F.col("path") == "currency").groupBy("snapshot_date", "path").agg(F.array_sort(F.collect_set("text")).alias("enum"))
+    t = profile.field_types(c, ["snapshot_date"], None)
+    s = p.join(cur, ["snapshot_date", "path"], "left").join(t, ["snapshot_date", "path"])
+    return s.select("snapshot_date", F.lit("main").alias("cluster_id"), "path", "presence", "field_type", F.coalesce("enum", F.array().cast("array<string>")).alias("enum"))
+
+
+@_b.query(
+    _SNAP
+    + """, x AS (SELECT *, (snapshot_date - min(snapshot_date) OVER (PARTITION BY path))::DOUBLE AS d FROM snap),
+g AS (SELECT path, count(*) AS n, arg_min(presence, snapshot_date) AS f, arg_max(presence, snapshot_date) AS l, regr_sxx(presence, d) AS sxx, regr_syy(presence, d) AS syy, regr_sxy(presence, d) AS sxy FROM x GROUP BY path),
+v AS (SELECT *, CASE WHEN sxx > 0 THEN sxy / sxx ELSE 0 END AS slope FROM g), z AS (SELECT *, sqrt(greatest(0, (syy - slope * slope * sxx) / n)) AS sigma FROM v)
+SELECT path, n, round(f, 6) AS first_presence, round(l, 6) AS last_presence, round(slope, 6) AS slope, round(sigma, 6) AS sigma,
+CASE WHEN n < 3 THEN 'insufficient_data' WHEN sigma > 0.10 THEN 'volatile' WHEN slope > 0.002 THEN 'rising' WHEN slope < -0.002 THEN 'declining' ELSE 'stable' END AS trend FROM z"""
+)
+def velocity(spark, sf_dir):
+    v = history.velocity(_snapshots(spark, sf_dir))
+    return v.select("path", "n", r6("first_presence").alias("first_presence"), r6("last_presence").alias("last_presence"), "slope", "sigma", "trend")
+
+
+@_b.query(
+    _SNAP
+    + """, f AS (SELECT text, min(week) AS d FROM wk WHERE path = 'currency' GROUP BY 1), s AS (SELECT min(week) AS d0, max(week) - min(week) AS days FROM wk)
+SELECT 'currency' AS path, round(count(*) FILTER (d > d0) / any_value(days), 6) AS enum_growth FROM f, s"""
+)
+def enum_growth(spark, sf_dir):
+    return history.enum_growth(_snapshots(spark, sf_dir)).select("path", r6("enum_growth").alias("enum_growth"))
+
+
+@_b.query(
+    CELLS
+    + """, n AS (SELECT half, count(*) AS n FROM ev GROUP BY 1), p AS (SELECT path, count(*) FILTER (half = 'baseline') / (SELECT n FROM n WHERE half = 'baseline') AS a, count(*) FILTER (half = 'observed') / (SELECT n FROM n WHERE half = 'observed') AS b FROM cells GROUP BY 1)
+SELECT path, change, significance FROM (SELECT path, 'field_added' AS change, CASE WHEN b >= 0.8 THEN 'breaking' ELSE 'non_breaking' END AS significance FROM p WHERE a = 0 UNION ALL SELECT path, 'field_removed', CASE WHEN a >= 0.8 THEN 'breaking' ELSE 'non_breaking' END FROM p WHERE b = 0
+UNION ALL SELECT path, 'presence_changed', CASE WHEN abs(b - a) >= 0.15 THEN 'non_breaking' ELSE 'informational' END FROM p WHERE a > 0 AND b > 0 AND abs(b - a) >= 0.02
+UNION ALL SELECT path, 'required_changed', CASE WHEN b >= 0.8 THEN 'breaking' ELSE 'non_breaking' END FROM p WHERE a > 0 AND b > 0 AND (a >= 0.8) <> (b >= 0.8)
+UNION ALL SELECT 'ts', 'type_changed', 'breaking' UNION ALL SELECT 'currency', 'enum_added', 'non_breaking')"""
+)
+def profile_diff(spark, sf_dir):
+    c, e = event_cells(spark, sf_dir, ("seq", "half")), events(spark, sf_dir)
+    side = []
+    for half in ("baseline", "observed"):
+        b = drift.baseline_of(c.filter(F.col("half") == half), e.filter(F.col("half") == half), enums=False)
+        cur = c.filter((F.col("half") == half) & (F.col("path") == "currency")).groupBy("path").agg(F.array_sort(F.collect_set("text")).alias("values"))
+        b = b.join(cur, "path", "left").withColumn("enum", F.coalesce("values", "enum"))
+        side.append(b.select(F.lit("main").alias("cluster_id"), "path", "field_type", "presence", (F.col("presence") >= 0.8).alias("required"), "enum", "pii"))
+    return history.diff(*side).select("path", "change", "significance")
+
+
+@_b.query(
+    """WITH r AS (SELECT event_type AS path, dayofmonth(ts) AS cycle, count(*) FILTER (event_id % 30 >= dayofmonth(ts)) / count(*) AS rate FROM events WHERE ts < TIMESTAMP '2024-01-07' GROUP BY ALL),
+d AS (SELECT *, rate - lag(rate) OVER (PARTITION BY path ORDER BY cycle) AS delta, row_number() OVER (PARTITION BY path ORDER BY cycle DESC) AS age FROM r),
+w AS (SELECT *, max(delta) OVER x AS worst, avg(delta) OVER x AS step, count(delta) OVER x AS k FROM d WINDOW x AS (PARTITION BY path ORDER BY cycle ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT path, round(rate, 6) AS rate, round(step, 6) AS mean_delta, round((rate - 0.7) / abs(step), 6) AS cycles_left FROM w WHERE age = 1 AND k = 3 AND worst < 0 AND abs(step) >= 0.005 AND rate > 0.7 AND (rate - 0.7) / abs(step) <= 3"""
+)
+def pre_drift_trend(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("ts") < "2024-01-07")  # the first six days
+    d = F.dayofmonth("ts")
+    r = e.groupBy(F.col("event_type").alias("path"), d.alias("cycle")).agg((F.count_if(F.col("event_id") % 30 >= d) / F.count("*")).alias("rate"))
+    t = history.trend_warnings(r, 0.7)
+    return t.select("path", r6("rate").alias("rate"), r6("mean_delta").alias("mean_delta"), r6("cycles_left").alias("cycles_left"))
+
+
+@_b.query("SELECT * FROM (VALUES ('amount', 'demote_to_optional'), ('legacy', 'demote_to_optional'), ('card', 'promote_to_required')) t(path, action)")
+def proposals(spark, sf_dir):
+    v = history.velocity(_snapshots(spark, sf_dir))
+    declared = spark.createDataFrame([("amount", True, "float"), ("legacy", True, "integer"), ("card", False, "string"), ("flag", True, "boolean")], "path string, required boolean, field_type string")
+    # A field that a snapshot lacks altogether has no row there; its last one is 0.
+    v = v.withColumn("last_presence", F.when(F.col("path") == "legacy", 0.0).when(F.col("path") == "amount", 0.6).otherwise(F.col("last_presence")))
+    v = v.withColumn("n", F.greatest("n", F.lit(4))).withColumn("first_presence", F.when(F.col("path") == "card", 1.0).otherwise(F.col("first_presence")))
+    return history.proposals(v.filter(F.col("path").isin("amount", "legacy", "card", "flag")), declared).filter(F.col("action") != "remove_field").select("path", "action")
+
+
+# -- incidents ---------------------------------------------------------------
+
+
+@_b.query(
+    """WITH f AS (SELECT DISTINCT event_type AS cluster_id, 'f' || (user_id % 3) AS path, hour(ts) + 24 * dayofyear(ts) AS poll FROM events WHERE value > 0 AND user_id % 5 = 0),
+i AS (SELECT *, poll - row_number() OVER (PARTITION BY cluster_id, path ORDER BY poll) AS island FROM f)
+SELECT cluster_id, path, min(poll)::INT AS first_poll, max(poll)::INT AS last_poll, count(*) AS occurrences FROM i GROUP BY cluster_id, path, island"""
+)
+def incident_lifecycle(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter((F.col("value") > 0) & (F.col("user_id") % 5 == 0))
+    f = e.select(F.col("event_type").alias("cluster_id"), F.concat(F.lit("f"), (F.col("user_id") % 3).cast("string")).alias("path"), F.lit("type_changed").alias("drift_type"), (F.hour("ts") + 24 * F.dayofyear("ts")).alias("poll"), F.lit(2).alias("tier"))
+    return incidents.lifecycle(f).select("cluster_id", "path", F.col("first_poll").cast("int").alias("first_poll"), F.col("last_poll").cast("int").alias("last_poll"), "occurrences")
+
+
+@_b.query("""SELECT * FROM (VALUES ('a', 'open', 2), ('b', 'resolved', 1), ('c', 'open', 1), ('d', 'suppressed', 3), ('e', 'resolved', 4), ('e', 'open', 1)) t(path, status, occurrences)""")
+def incident_merge(spark, sf_dir):
+    state = spark.createDataFrame([(None, "a", "type_changed", 3, "open", "2024-01-01", "2024-01-01", 1), (None, "b", "type_changed", 3, "open", "2024-01-01", "2024-01-01", 1), (None, "d", "new_pii", 3, "suppressed", "2024-01-01", "2024-01-01", 3), (None, "e", "new_pii", 3, "resolved", "2024-01-01", "2024-01-01", 4)], "cluster_id string, path string, drift_type string, tier int, status string, first_detected string, last_seen string, occurrences long")
+    found = spark.createDataFrame([(None, "a", "type_changed", 3), (None, "c", "field_added", 1), (None, "d", "new_pii", 3), (None, "e", "new_pii", 3)], "cluster_id string, path string, drift_type string, tier int")
+    return incidents.merge(state, found, F.lit("2024-01-02")).select("path", "status", F.col("occurrences").cast("int").alias("occurrences"))
+
+
+@_b.query(
+    """WITH s AS (SELECT event_id % 3 + 1 AS tier, event_id % 2 = 0 AS done, ts AS a, ts + INTERVAL 1 HOUR * (event_id % 10) AS b FROM events WHERE ts >= TIMESTAMP '2024-01-10')
+SELECT count(*) AS incidents, count(*) FILTER (tier = 1) AS tier_1, count(*) FILTER (tier = 2) AS tier_2, count(*) FILTER (tier = 3) AS tier_3, count(*) FILTER (done) AS resolved, count(*) FILTER (tier = 3) * 4.0::DOUBLE + count(*) FILTER (tier = 2) * 1.0::DOUBLE AS hours_saved,
+round(avg(CASE WHEN done THEN (epoch(date_trunc('second', b)) - epoch(date_trunc('second', a))) / 3600.0 END), 6) AS mttr_hours FROM s"""
+)
+def roi(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    state = e.select((F.col("event_id") % 3 + 1).cast("int").alias("tier"), F.when(F.col("event_id") % 2 == 0, "resolved").otherwise("open").alias("status"), F.col("ts").alias("first_detected"), (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 10).cast("int"))).alias("last_seen"))
+    return incidents.roi(state, F.lit("2024-01-10").cast("timestamp")).withColumn("mttr_hours", r6("mttr_hours"))
+
+
+# -- evaluation --------------------------------------------------------------
+
+
+@_b.query("SELECT path, drift_type, true AS found FROM (VALUES ('currency', 'enum_changed'), ('flag', 'field_removed'), ('event_type', 'type_changed'), ('user.id', 'new_pii')) t(path, drift_type)")
+def scorecard(spark, sf_dir):
+    """Drift injected into the clean half is found, kind by kind."""
+    c, e = event_cells(spark, sf_dir, ("seq", "half")).filter(F.col("half") == "baseline").drop("half"), events(spark, sf_dir).filter(F.col("half") == "baseline")
+    base = drift.baseline_of(c, e, enums=True)
+    out = None
+    for kind, path in (("enum_add", "currency"), ("field_removed", "flag"), ("type_flip", "event_type"), ("pii_add", "user.id")):
+        found = drift.detect(base, evaluation.inject(c, kind, path), e)
+        want = spark.createDataFrame(evaluation.labels(kind, path), "path string, drift_type string")
+        row = want.join(found.select("path", "drift_type").distinct().withColumn("found", F.lit(True)), ["path", "drift_type"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@_b.query("SELECT 0::BIGINT AS findings")
+def false_positives(spark, sf_dir):
+    """The clean half against itself: nothing drifts."""
+    c, e = event_cells(spark, sf_dir, ("seq", "half")).filter(F.col("half") == "baseline").drop("half"), events(spark, sf_dir).filter(F.col("half") == "baseline")
+    c, e = c.filter(~F.col("path").isin("note", "tags", "tags[].k")), e
+    base = drift.baseline_of(c, e)
+    return drift.detect(base, c, e).agg(F.count("*").alias("findings"))
+
+
+@_b.query(
+    """WITH q AS (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS guess, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), c AS (SELECT count(*) FILTER (guess = 1 AND quality = 1) AS tp, count(*) FILTER (guess = 1 AND quality = 0) AS fp, count(*) FILTER (guess = 0 AND quality = 1) AS fn FROM q)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c"""
+)
+def prf(spark, sf_dir):
+    d, lab = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.col("quality").isNotNull())
+    j = lab.join(d.select("doc_id", "n_chars"), "doc_id")
+    s = evaluation.score(j.filter("n_chars > 500"), j.filter("quality = 1"), ["doc_id"])
+    return s.select("tp", "fp", "fn", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@_b.query()
+def fdr_simulation(spark, sf_dir):
+    """Monte Carlo of Benjamini-Hochberg: the false discovery rate stays below q."""
+    return evaluation.simulate_fdr(spark)
+
+
+@_b.query()
+def generated_events(spark, sf_dir):
+    schema = spark.createDataFrame([("id", "uuid", 1.0, []), ("amount", "float", 0.9, []), ("kind", "string", 1.0, ["a", "b"]), ("at", "timestamp_iso8601", 0.5, [])], "path string, field_type string, presence double, enum array<string>")
+    return evaluation.generate(spark, schema, 1000)
+
+
+# -- windows of time -----------------------------------------------------------
+
+
+@_b.query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("event_type", F.window("ts", "1 day")).agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total")).select("event_type", F.col("window.start").alias("window_start"), "n", "total")
+
+
+@_b.query("SELECT event_type, s AS window_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS s FROM events) GROUP BY ALL")
+def sliding_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("event_type", F.window("ts", "12 hours", "6 hours")).agg(F.count("*").alias("n")).select("event_type", F.col("window.start").alias("window_start"), "n")
+
+
+@_b.query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, sid"""
+)
+def session_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id", F.session_window("ts", "12 hours")).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("session_start"), "n")
+
+
+QUERIES, SQL = _b.queries, _b.sql

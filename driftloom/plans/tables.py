@@ -1,2 +1,79 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries: sources, exports and read-side summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftloom.functions import text
+from driftloom.operators import inference, lineage, profile
+from driftloom.plans.fixtures import CELLS, event_cells, events
+from driftloom.plans.registry import Book
+from driftloom.sources import parse
+
+_b = Book()
+
+
+def _lines(spark, sf_dir):
+    """Clean, embedded, truncated and useless lines, by event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id").cast("string")
+    obj = F.concat(F.lit('{"id":'), i, F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
+    line = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("2024-01-01 INFO "), obj, F.lit(" done")))
+        .when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"id":'), i, F.lit(',"type":"x","broken":{"a":')))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit("no json "), i))
+        .otherwise(obj)
+    )
+    return e.select(F.col("event_id").alias("seq"), line.alias("line"))
+
+
+@_b.query("SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN 0.7 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS parse_conf, CASE WHEN event_id % 5 <> 2 THEN event_id::VARCHAR END AS id FROM events")
+def resilient_parse(spark, sf_dir):
+    p = parse.resilient(_lines(spark, sf_dir))
+    return p.select("seq", F.col("parse_conf").cast("double").alias("parse_conf"), F.try_variant_get("v", "$.id", "string").alias("id"))
+
+
+@_b.query("SELECT count(*) AS total_lines, count(*) FILTER (event_id % 5 >= 3) AS parsed_clean, count(*) FILTER (event_id % 5 <= 1) AS parsed_partial, count(*) FILTER (event_id % 5 = 2) AS skipped FROM events")
+def parse_stats(spark, sf_dir):
+    return parse.parse_stats(parse.resilient(_lines(spark, sf_dir)))
+
+
+@_b.query("SELECT event_id AS id, (CASE event_id % 3 WHEN 0 THEN (event_id % 9 + 1) || '.' || (event_id % 4) || '.' || (event_id % 5 + 1) WHEN 1 THEN (event_id % 9) || '.' || (event_id % 4 + 1) || '.0' WHEN 2 THEN (event_id % 9 + 1) || '.0.0' END) AS version FROM events")
+def version_bumps(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id")
+    old = F.concat_ws(".", (i % 9 + F.when(i % 3 == 0, 1).otherwise(0)).cast("string"), (i % 4).cast("string"), (i % 5).cast("string"))
+    return e.select(i.alias("id"), text.bump_version(old, i % 3 + 1).alias("version"))
+
+
+@_b.query("SELECT path, n FROM (SELECT 'user.email' AS path, 'email' AS n UNION ALL SELECT 'card', 'card_number' UNION ALL SELECT 'card', 'national_id')")
+def pii_summary(spark, sf_dir):
+    f = inference.statistical(event_cells(spark, sf_dir, ("seq",)), events(spark, sf_dir))
+    return f.select("path", F.explode("pii").alias("n"))
+
+
+@_b.query(CELLS + "SELECT path FROM cells WHERE lower(path) LIKE '%user%' GROUP BY path")
+def search_fields(spark, sf_dir):
+    f = inference.statistical(event_cells(spark, sf_dir, ("seq",)), events(spark, sf_dir))
+    return lineage.search_fields(f, "user").select("path")
+
+
+@_b.query(CELLS + "SELECT path, array_to_string(list(text ORDER BY seq)[1:5], '|') AS samples FROM cells WHERE kind <> 'null' GROUP BY path")
+def sample_values(spark, sf_dir):
+    return profile.sample_values(event_cells(spark, sf_dir, ("seq",))).select("path", F.array_join("samples", "|").alias("samples"))
+
+
+@_b.query(
+    """WITH s AS (SELECT user_id % 50 AS p, event_type, count(*) AS k, max(ts::DATE) AS d FROM events GROUP BY 1, 2), r AS (SELECT p, sum(k)::BIGINT AS seen, max(d) AS d FROM s GROUP BY 1), l AS (SELECT max(ts::DATE) AS now FROM events)
+SELECT 'f' || p AS path, CASE WHEN seen >= 3 AND now - d <= 90 THEN 'integer' END AS known_type FROM r, l"""
+)
+def registry_lookup(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("path", F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string")))
+    empty = spark.createDataFrame([], "path string, field_type string, confidence double, seen long, last_seen date, streams array<string>")
+    seen = e.select("path", F.lit("integer").alias("field_type"), F.lit(0.9).alias("confidence"), F.to_date("ts").alias("last_seen"), F.col("event_type").alias("stream"))
+    registry = inference.registry_record(empty, seen)
+    now = e.agg(F.max(F.to_date("ts")).alias("now")).first()["now"]
+    return inference.registry_lookup(e.select("path").distinct(), registry, F.lit(now)).select("path", "known_type")
+
+
+QUERIES, SQL = _b.queries, _b.sql
