@@ -9,12 +9,13 @@
    classes with ``t`` matches must meet in one of them.  ``t`` is the largest
    number of matches that a pair at the link threshold misses with probability
    below ``MISS`` (about one pair in ten million).
-4. Merging skips: within a posting list every class is paired with the list's
-   first only; links found there make components, and a second pass pairs only
-   classes of different components in one list.  A list whose classes are already
-   connected makes no more pairs, so a group of m copies costs m pairs, not m^2.
-5. Pairs are counted on full signatures (``t`` or more matches stay) and then
-   confirmed on full sets.
+4. Merging skips: within a posting list every class meets the list's leader only,
+   the class with the most common tokens; pairs with ``t`` collisions are confirmed
+   on full sets.
+   Links make components.  A second pass looks for links between components that
+   one leader has, by an inverted join of the members' differences to the leader
+   (see ``_second_pairs``); what it finds is confirmed on full sets too.  A group of
+   m copies so costs about m pairs, not m^2, and no link is given up.
 
 Defined results: null texts and texts without words have an empty set, no links,
 and themselves as component; shorter texts have their whole word sequence as one
@@ -122,14 +123,59 @@ def _first_long(cid: Column) -> Column:
     return F.conv(F.hex(F.substring(cid, 1, 8)), 16, -10).cast("long")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, t: int, link: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are links: signature matches first, then full sets."""
-    sig = classes.select("cid", "sig", "n")
-    one, two = (sig.select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    close = pairs.join(one, "a").join(two, "b").filter((F.least("n_a", "n_b") * link[1] >= F.greatest("n_a", "n_b") * link[0]) & (F.size(F.array_intersect("sig_a", "sig_b")) >= t)).select("a", "b")
-    one, two = (sets.select(F.col("cid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return close.join(one, "a").join(two, "b").filter(both * link[1] >= (F.size("set_a") + F.size("set_b") - both) * link[0]).select("a", "b")
+def _ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b, ...) with the column of ``table`` for both ends."""
+    for x in "ab":
+        pairs = pairs.join(table.select(F.col("cid").alias(x), F.col(column).alias(f"{column}_{x}")), x)
+    return pairs
+
+
+def _is_link(t: int, link: tuple[int, int]) -> Column:
+    """Enough collisions of the signatures, and then enough common shingles."""
+    one, two = F.col("class_a.set"), F.col("class_b.set")
+    both = F.size(F.array_intersect(one, two)).cast("long")
+    return (F.size(F.array_intersect("class_a.tokens", "class_b.tokens")) >= t) & (both * link[1] >= (F.size(one) + F.size(two) - both) * link[0])
+
+
+def _families(lists: DataFrame, sets: DataFrame, weights: DataFrame, t: int, link: tuple[int, int]) -> DataFrame:
+    """(a, b, linked, n, apart): every class b of some list with that list's leader a,
+    the class whose tokens are the most common; ``apart`` are the shingles that only
+    one of the two has."""
+    led = lists.join(weights, "cid").groupBy("token").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
+    pairs = _ends(lists.join(led, "token").filter(F.col("a") != F.col("cid")).select("a", F.col("cid").alias("b")).distinct(), sets, "class")
+    apart = F.concat(F.array_except("class_a.set", "class_b.set"), F.array_except("class_b.set", "class_a.set"))
+    return pairs.select("a", "b", _is_link(t, link).alias("linked"), F.size("class_b.set").alias("n"), apart.alias("apart"))
+
+
+def _second_pairs(families: DataFrame, labels: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that one leader has and that may be links.
+
+    Two sets at distances X and Y from a leader differ by |X| + |Y| - 2 |X and Y|,
+    and a link may differ by ``most`` = (1-j)/(1+j) * (|a| + |b|) only.  So what is
+    joined are differences to the leader, again with a prefix: differences that no
+    other member has can't match, and the bound on common ones says how many of the
+    rarest a member must post.  Near copies of one text that edit it in different
+    places share few differences, and make few pairs however many they are."""
+    j = link[0] / link[1]
+    slack = (1 - j) / (1 + j)
+    mark = labels.withColumnRenamed("v", "b")
+    f = families.join(mark, "b", "left").select("a", "b", "n", "apart", F.coalesce("label", "b").alias("label"))
+    open_ = f.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("a")
+    f = materialize(f.join(open_, "a").select(F.xxhash64("a").alias("family"), F.xxhash64("a", "b").alias("member"), "b", "n", "apart", "label"), "op2-open")
+    each = f.select("family", "member", F.explode("apart").alias("shingle"))
+    common = each.groupBy("family", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
+    got = each.join(common, ["family", "shingle"]).groupBy("family", "member").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+    got = got.join(f.select("member", "b", "n", "label", F.size("apart").alias("size")), "member")
+    # Of a partner at most n / j long, and of |Y| >= common: common >= |X| - most.
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") - slack * F.col("n") * (1 + 1 / j) - 1e-6).cast("int"))
+    got = got.withColumn("need", need).filter(F.size("x") >= F.col("need"))
+    got = materialize(got.select("family", "b", "n", "label", "size", F.size("x").alias("shared"), F.transform(F.slice("x", 1, F.size("x") - F.col("need") + 1), lambda e: e["shingle"]).alias("prefix")), "op2-differences")
+    side = lambda s: got.select("family", F.explode("prefix").alias("shingle"), *(F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "label", "size", "shared")))
+    one, two = side("x"), side("y")
+    unique = F.col("size_x") - F.col("shared_x") + F.col("size_y") - F.col("shared_y")
+    close = unique + F.abs(F.col("shared_x") - F.col("shared_y")) <= slack * (F.col("n_x") + F.col("n_y")) + 1e-6
+    joined = one.join(two, (one["family"] == two["family"]) & (one["shingle"] == two["shingle"]) & (F.col("label_x") != F.col("label_y")) & (F.col("b_x") < F.col("b_y")) & close)
+    return joined.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, shingle: int = SHINGLE) -> DataFrame:
@@ -145,24 +191,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = classes.select("cid", F.explode("sig").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     kept = tokens.join(shared, "token").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x")).filter(F.size("x") >= t)
-    lists = materialize(kept.select("cid", F.explode(F.slice("x", 1, F.size("x") - (t - 1))).alias("x")).select("cid", F.col("x.token").alias("token")), "op2-postings")
+    kept = materialize(kept, "op2-tokens")
+    lists = kept.select("cid", F.explode(F.slice("x", 1, F.size("x") - (t - 1))).alias("x")).select("cid", F.col("x.token").alias("token"))
+    weights = kept.select("cid", F.aggregate("x", F.lit(0).cast("long"), lambda w, e: w + e["df"]).alias("weight"))
 
     bits = bitmap_of(lists.select(_first_long(F.col("cid")).alias("h")).distinct(), "h", BITS)
     sets = rows.mapInArrow(_sets(shingle, spark.sparkContext.broadcast(bits)), "cid binary, set array<long>")
-    sets = materialize(sets.groupBy("cid").agg(F.first("set").alias("set")), "op2-sets")
+    tokens_of = kept.select("cid", F.transform("x", lambda e: e["token"]).alias("tokens"))
+    sets = sets.groupBy("cid").agg(F.first("set").alias("set")).join(tokens_of, "cid")
+    sets = materialize(sets.select("cid", F.struct("set", "tokens").alias("class")), "op2-sets")
 
-    first = lists.groupBy("token").agg(F.min("cid").alias("a"))
-    pairs = lists.join(first, "token").filter(F.col("a") != F.col("cid")).select("a", F.col("cid").alias("b")).distinct()
-    edges = materialize(_confirm(pairs, classes, sets, t, link), "op2-edges")
+    families = materialize(_families(lists, sets, weights, t, link), "op2-families")
+    edges = families.filter("linked").select("a", "b")
     labels = connected_components(edges)
-    # The second pass: pairs of different components in one list.
-    marked = lists.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("token", "cid", F.coalesce("label", "cid").alias("label"))
-    split = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("token")
-    open_lists = materialize(marked.join(split, "token"), "op2-open")
-    one = open_lists.select("token", F.col("cid").alias("a"), F.col("label").alias("label_a"))
-    two = open_lists.select("token", F.col("cid").alias("b"), F.col("label").alias("label_b"))
-    pairs = one.join(two, "token").filter((F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    more = materialize(_confirm(pairs, classes, sets, t, link), "op2-edges")
+    pairs = _ends(_second_pairs(families, labels, link), sets, "class")
+    more = materialize(pairs.filter(_is_link(t, link)).select("a", "b"), "op2-edges")
     if not more.isEmpty():
         labels = connected_components(edges.union(more))
 
