@@ -198,7 +198,7 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",
             inside = at < len(head)
             value[inside] += head_own[at[inside]]
             tokens, known = np.bincount(row, minlength=n), np.bincount(row[inside], minlength=n)
-            base = np.bincount(row[inside], head_base[at[inside]], n)
+            base = np.bincount(row[inside], head_base[at[inside]], n).astype(np.float64)  # of nothing, bincount gives integers
             rest, own_row = h[~inside], row[~inside]
             order = np.lexsort((rest, own_row))
             rest, own_row = rest[order], own_row[order]
@@ -213,7 +213,7 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",
                     both(rid, pa.array(rest[first].view(np.int64))),
                     both(pa.array(np.zeros(n, np.int64)), pa.array(np.diff(np.r_[first, len(rest)]))),
                     *(both(batch.column(f"k{x}").slice(i, n), null(batch.column(f"k{x}").type)) for x in range(len(keep))),
-                    *(both(pa.array(x), pa.array(np.zeros(m, x.dtype))) for x in (tokens, known, base, np.bincount(row, value, n))),
+                    *(both(pa.array(x), pa.array(np.zeros(m, x.dtype))) for x in (tokens, known, base, np.bincount(row, value, n).astype(np.float64))),
                 ],
                 names=names,
             )
