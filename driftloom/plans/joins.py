@@ -158,16 +158,16 @@ def profile_diff(spark, sf_dir):
 
 
 @_b.query(
-    """WITH r AS (SELECT event_type AS path, dayofmonth(ts) AS cycle, count(*) FILTER (event_id % 30 >= dayofmonth(ts)) / count(*) AS rate FROM events WHERE ts < TIMESTAMP '2024-01-07' GROUP BY ALL),
-d AS (SELECT *, rate - lag(rate) OVER (PARTITION BY path ORDER BY cycle) AS delta, row_number() OVER (PARTITION BY path ORDER BY cycle DESC) AS age FROM r),
+    """WITH r AS (SELECT event_type AS path, dayofmonth(ts) AS cycle, count(*) FILTER (event_id % 60 >= dayofmonth(ts)) / count(*) AS rate FROM events GROUP BY ALL),
+d AS (SELECT *, rate - lag(rate) OVER (PARTITION BY path ORDER BY cycle) AS delta, row_number() OVER (PARTITION BY path ORDER BY cycle DESC) AS age FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY cycle DESC) <= 10)),
 w AS (SELECT *, max(delta) OVER x AS worst, avg(delta) OVER x AS step, count(delta) OVER x AS k FROM d WINDOW x AS (PARTITION BY path ORDER BY cycle ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT path, round(rate, 6) AS rate, round(step, 6) AS mean_delta, round((rate - 0.7) / abs(step), 6) AS cycles_left FROM w WHERE age = 1 AND k = 3 AND worst < 0 AND abs(step) >= 0.005 AND rate > 0.7 AND (rate - 0.7) / abs(step) <= 3"""
+SELECT path, round(rate, 6) AS rate, round(step, 6) AS mean_delta, round((rate - 0.4) / abs(step), 6) AS cycles_left FROM w WHERE age = 1 AND k = 3 AND worst < 0 AND abs(step) >= 0.005 AND rate > 0.4 AND (rate - 0.4) / abs(step) <= 3"""
 )
 def pre_drift_trend(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("ts") < "2024-01-07")  # the first six days
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     d = F.dayofmonth("ts")
-    r = e.groupBy(F.col("event_type").alias("path"), d.alias("cycle")).agg((F.count_if(F.col("event_id") % 30 >= d) / F.count("*")).alias("rate"))
-    t = history.trend_warnings(r, 0.7)
+    r = e.groupBy(F.col("event_type").alias("path"), d.alias("cycle")).agg((F.count_if(F.col("event_id") % 60 >= d) / F.count("*")).alias("rate"))
+    t = history.trend_warnings(r, 0.4)
     return t.select("path", r6("rate").alias("rate"), r6("mean_delta").alias("mean_delta"), r6("cycles_left").alias("cycles_left"))
 
 
@@ -185,12 +185,12 @@ def proposals(spark, sf_dir):
 
 
 @_b.query(
-    """WITH f AS (SELECT DISTINCT event_type AS cluster_id, 'f' || (user_id % 3) AS path, hour(ts) + 24 * dayofyear(ts) AS poll FROM events WHERE value > 0 AND user_id % 5 = 0),
+    """WITH f AS (SELECT DISTINCT event_type AS cluster_id, 'f' || (user_id % 3) AS path, hour(ts) + 24 * dayofyear(ts) AS poll FROM events WHERE value > 0),
 i AS (SELECT *, poll - row_number() OVER (PARTITION BY cluster_id, path ORDER BY poll) AS island FROM f)
 SELECT cluster_id, path, min(poll)::INT AS first_poll, max(poll)::INT AS last_poll, count(*) AS occurrences FROM i GROUP BY cluster_id, path, island"""
 )
 def incident_lifecycle(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter((F.col("value") > 0) & (F.col("user_id") % 5 == 0))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("value") > 0)
     f = e.select(F.col("event_type").alias("cluster_id"), F.concat(F.lit("f"), (F.col("user_id") % 3).cast("string")).alias("path"), F.lit("type_changed").alias("drift_type"), (F.hour("ts") + 24 * F.dayofyear("ts")).alias("poll"), F.lit(2).alias("tier"))
     return incidents.lifecycle(f).select("cluster_id", "path", F.col("first_poll").cast("int").alias("first_poll"), F.col("last_poll").cast("int").alias("last_poll"), "occurrences")
 
