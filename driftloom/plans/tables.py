@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.functions import text
-from driftloom.operators import inference, lineage, profile
+from driftloom.operators import inference, lineage, profile, reports
+from driftloom.operators.cells import rebuild
 from driftloom.plans.fixtures import CELLS, event_cells, events
 from driftloom.plans.registry import Book
 from driftloom.sources import parse
@@ -76,4 +77,36 @@ def registry_lookup(spark, sf_dir):
     return inference.registry_lookup(e.select("path").distinct(), registry, F.lit(now)).select("path", "known_type")
 
 
+@_b.query(
+    CELLS
+    + """, n AS (SELECT event_type, count(*) AS n FROM ev GROUP BY 1)
+SELECT event_type AS cluster_id, path, count(*) AS seen, round(count(*) / any_value(n), 6) AS presence, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT text) AS distinct FROM cells JOIN n USING (event_type) GROUP BY 1, 2"""
+)
+def profile_clusters(spark, sf_dir):
+    p = reports.profile_stream(events(spark, sf_dir), event_cells(spark, sf_dir, ("seq",)))
+    return p.select("cluster_id", "path", "seen", F.round("presence", 6).alias("presence"), "nulls", "distinct")
+
+
+@_b.query(
+    """WITH s AS (SELECT event_type, count(*) AS size FROM events GROUP BY 1), a AS (SELECT event_type, least(size, least(size, 10) + floor(greatest(0, 1000 - count(*) OVER () * 10) * size / sum(size) OVER ())::BIGINT) AS n FROM s)
+SELECT event_type AS event_kind, n, round(n / sum(n) OVER (), 6) AS frequency, n >= 30 AS valid FROM a"""
+)
+def multi_schema(spark, sf_dir):
+    conf, _ = reports.multi_schema(events(spark, sf_dir))
+    return conf.select("event_kind", "n", F.round("frequency", 6).alias("frequency"), "valid")
+
+
+@_b.query(CELLS + "SELECT seq, string_agg('\"' || path || '\":' || CASE WHEN kind = 'null' THEN 'null' WHEN kind = 'string' THEN '\"' || text || '\"' ELSE text END, ',' ORDER BY path) AS members FROM cells WHERE path IN ('event_id', 'currency', 'note', 'flag') GROUP BY seq")
+def rebuilt_events(spark, sf_dir):
+    c = event_cells(spark, sf_dir, ("seq",)).filter(F.col("path").isin("event_id", "currency", "note", "flag"))
+    return rebuild(c).select("seq", F.expr("substring(raw, 2, length(raw) - 2)").alias("members"))
+
+
+@_b.query("SELECT event_id AS seq, 'user_' || substr(sha256('u' || user_id || '@example.com'), 1, 8) || '@example.com' AS email FROM events")
+def scrubbed_emails(spark, sf_dir):
+    c = event_cells(spark, sf_dir, ("seq",)).filter(F.col("path") == "user.email")
+    found = spark.createDataFrame([("user.email", "email")], "path string, category string")
+    return reports.scrub(c, found).select("seq", F.col("text").alias("email"))
+
+
 QUERIES, SQL = _b.queries, _b.sql
