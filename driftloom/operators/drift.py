@@ -94,19 +94,16 @@ def detect(baseline: DataFrame, cells: DataFrame, events: DataFrame, keys: list[
     base = baseline.select(*on, F.col("field_type").alias("old_type"), F.col("presence").alias("before"), F.coalesce("enum", F.array().cast("array<string>")).alias("enum"), F.coalesce("pii", F.array().cast("array<string>")).alias("old_pii"), F.lit(True).alias("known"))
     seen = observe(cells, events, keys)
     j = base.join(seen, on, "full").join(enum_novelty(cells, base, keys), on, "left")
-    for c in ("old_pii", "new_pii", "enum"):
-        j = j.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    j = j.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("old_pii", "new_pii", "enum")})
     t = profile.totals(events, keys)
-    j = (j.drop("total").join(t, keys, "left") if keys else j.drop("total").crossJoin(F.broadcast(t))).withColumn("total", F.coalesce("total", F.lit(0)))  # one row without keys
-    after = F.coalesce("presence", F.lit(0.0))
-    j = j.withColumn("after", after).withColumn("k", F.coalesce("seen", F.lit(0)))
+    j = j.drop("total").join(t, keys, "left") if keys else j.drop("total").crossJoin(F.broadcast(t))  # one row without keys
+    j = j.withColumns({"total": F.coalesce("total", F.lit(0)), "after": F.coalesce("presence", F.lit(0.0)), "k": F.coalesce("seen", F.lit(0))})
     z = stats.binomial_z(F.col("before"), F.col("k"), F.col("total"), alpha)
     large = F.col("total") >= TEST_LEAST
-    j = j.withColumn("z", F.when(F.col("known"), z))
     off = F.aggregate(F.map_values(F.map_filter("histogram", lambda t, _: t != F.col("old_type"))), F.lit(0).cast("long"), lambda s, x: s + x)
     n = F.aggregate(F.map_values("histogram"), F.lit(0).cast("long"), lambda s, x: s + x)
     # A baseline of one type: its cell expects n, all others share one of 0.5.
-    m = j.withColumn("n", F.coalesce(n, F.lit(0))).withColumn("off", F.coalesce(off, F.lit(0)))
+    m = j.withColumns({"z": F.when(F.col("known"), z), "n": F.coalesce(n, F.lit(0)), "off": F.coalesce(off, F.lit(0))})
     chi = (F.col("off") ** 2) / F.col("n") + (F.col("off") - 0.5) ** 2 / 0.5
     type_p = F.when((F.col("n") >= CHI2_LEAST) & (F.col("off") > 0), stats.chi2_survival(chi, F.lit(1))).when(F.col("n") >= CHI2_LEAST, 1.0)
     m = m.withColumn("type_p", type_p)
@@ -143,8 +140,9 @@ def detect(baseline: DataFrame, cells: DataFrame, events: DataFrame, keys: list[
     ranked = ranked.withColumn("p_adjusted", F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), low)))
     kept = ranked.filter(F.col("p").isNull() | (F.col("p_adjusted") < q))
     k = F.col("drift_type")
-    kept = kept.withColumn("tier", tier(k, F.col("before"), F.col("after"), F.col("old_type"), F.col("new_type"))).withColumn("class", drift_class(k, F.col("after"), F.col("old_type"), F.col("new_type"), F.col("old_enum"), F.col("new_enum")))
-    return kept.select(*on, "drift_type", "before", "after", "old_type", "new_type", "p", "p_adjusted", "tier", "class", "pii")
+    level = tier(k, F.col("before"), F.col("after"), F.col("old_type"), F.col("new_type"))
+    kind = drift_class(k, F.col("after"), F.col("old_type"), F.col("new_type"), F.col("old_enum"), F.col("new_enum"))
+    return kept.select(*on, "drift_type", "before", "after", "old_type", "new_type", "p", "p_adjusted", level.alias("tier"), kind.alias("class"), "pii")
 
 
 def report(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
