@@ -170,11 +170,13 @@ def _second_pairs(families: DataFrame, labels: DataFrame, link: tuple[int, int])
     need = F.greatest(F.lit(1), F.ceil(F.col("size") - slack * F.col("n") * (1 + 1 / j) - 1e-6).cast("int"))
     got = got.withColumn("need", need).filter(F.size("x") >= F.col("need"))
     got = materialize(got.select("family", "b", "n", "label", "size", F.size("x").alias("shared"), F.transform(F.slice("x", 1, F.size("x") - F.col("need") + 1), lambda e: e["shingle"]).alias("prefix")), "op2-differences")
-    side = lambda s: got.select("family", F.explode("prefix").alias("shingle"), *(F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "label", "size", "shared")))
+    side = lambda s: got.select("family", F.explode("prefix").alias("shingle"), *(F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "label", "size", "shared", "prefix")))
     one, two = side("x"), side("y")
+    # Both prefixes are in one order, so a pair is joined once, at its first common difference.
+    first = F.get(F.array_intersect("prefix_x", "prefix_y"), F.lit(0)) == one["shingle"]
     unique = F.col("size_x") - F.col("shared_x") + F.col("size_y") - F.col("shared_y")
     close = unique + F.abs(F.col("shared_x") - F.col("shared_y")) <= slack * (F.col("n_x") + F.col("n_y")) + 1e-6
-    joined = one.join(two, (one["family"] == two["family"]) & (one["shingle"] == two["shingle"]) & (F.col("label_x") != F.col("label_y")) & (F.col("b_x") < F.col("b_y")) & close)
+    joined = one.join(two, (one["family"] == two["family"]) & (one["shingle"] == two["shingle"]) & (F.col("label_x") != F.col("label_y")) & (F.col("b_x") < F.col("b_y")) & close & first)
     return joined.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
 
 
