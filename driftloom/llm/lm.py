@@ -1,22 +1,25 @@
 """Operator 8: language-model scoring by deleted interpolation.
 
-Tokens are words with A-Z lowered, and one end a document.  The most frequent
-words (at least 1 token in ``CLASSES``, so at most ``CLASSES`` words) are classes
-of their own; the rest share one more class.  The model is
-
-    P(w | u) = Pc(class w | class u) * P(w | class w)
-
-where Pc mixes the bigram, unigram and uniform estimates over classes with
-weights that depend on the bucket (log2) of the context's count, and the words of
-the shared class mix their own estimate with a uniform one over its words and one
-unseen.  All weights are learned by expectation-maximisation on the counts of a
-held-out tenth of the training documents, under estimates of the others; then the
-estimates are taken from all of them.
-
-Data flow.  Token counts are pre-aggregated by task and summed in Spark into a
-written table that grows with the corpus.  Words of at least 1 token in ``HEAD``
-(so at most ``HEAD`` words) are broadcast; all other tokens of the documents are
-joined with the table by hash, after being counted by document.  Words are
+Tokens are words with A-Z lowered, and one end a document, which is also the
+context of a document's first token.  The model is over whole words:
+
+    P(w | u) = a1 * c(u, w) / c(u) + a2 * c(w) / N + a3 / (V + 1)
+
+with weights that depend on the bucket (log2) of the context's count.  They are
+learned by expectation-maximisation on the word pairs of a held-out tenth of the
+training documents, under estimates of the others; then the estimates are taken
+from all of them.  A context never seen has no a1.
+
+Data flow.  Counts of words and of word pairs are pre-aggregated by task and
+summed in Spark into written tables that grow with the corpus.  Words and pairs of
+at least 1 token in ``HEAD`` (so at most ``HEAD`` each) are broadcast; a document's
+other words get their counts by a join, and so do its other pairs, after being
+counted by document.  Pairs that training has once are written only if a held-out
+document or one outside training may have them: a document marked as trained on
+knows by itself that its pair has a count of 1 if the table has none.  What may
+be in the table is told by bitmaps of fixed size; a full one costs time, not
+results.  EM sees the held-out pairs by bucket and in 1/``GRID`` steps of the
+logarithms of their two estimates, which is a bounded table.  Words and pairs are
 compared by 64-bit hashes.
 
 Defined results: a null text is one end token; repeated rows are scored each; a
@@ -31,14 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, load, materialize, text_buffer, word_hashes
+from .common import bitmap_has, bitmap_of, chunks, crc_mod, load, materialize, mix, text_buffer, word_hashes
 
-CLASSES, HEAD, GATHER, ROUNDS = 2048, 1_000_000, 2_000_000, 40
+HEAD, GATHER, ROUNDS, GRID, BITS = 1_000_000, 2_000_000, 40, 8, 26
 END = np.uint64(0x5EED0E4D5EED0E4D)
 BUCKETS = 48
+_FIRST = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,28 +95,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "op8-counts")
 
 
-def class_bigrams(docs: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by (context class, class): of all training documents, of the held-out ones."""
-    k = len(classes) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' contexts, and hashes of (context, token)."""
+    before = np.r_[END, h[:-1]]  # a row's last token is an end, the next row's context
+    return before, mix(before * _FIRST + h)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, pairs, those of held-out documents; context and word if there are some)."""
+
+    def out() -> pa.RecordBatch:
+        h, first, inv = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+        held = np.bincount(inv, np.concatenate(flags), len(h)).astype(np.int64)
+        ends = [pa.array(np.concatenate(x)[first].view(np.int64), mask=held == 0) for x in (us, ws)]
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(inv, minlength=len(h))), pa.array(held), *ends], names=["h", "n", "held", "u", "w"])
+
+    hs, us, ws, flags, size = [], [], [], [], 0
+    for batch, i, j, w, row in _batches(batches):
+        u, h = _pairs(w)
+        for x, y in ((hs, h), (us, u), (ws, w), (flags, batch.column("held").to_numpy(zero_copy_only=False)[i:j][row])):
+            x.append(y)
+        size += len(h)
+        if size >= GATHER:
+            yield out()
+            hs, us, ws, flags, size = [], [], [], [], 0
+    if size:
+        yield out()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, k * k), np.int64)
-        for batch, i, j, h, row in _batches(batches):
-            c = _lookup(shared.value, h)
-            before = np.r_[_lookup(shared.value, np.array([END])), c[:-1]]  # a row's last token is an end, the next row's context
-            held = batch.column("held").to_numpy(zero_copy_only=False)[i:j][row].astype(bool)
-            cell = before * k + c
-            sums[0] += np.bincount(cell, minlength=k * k)
-            sums[1] += np.bincount(cell[held], minlength=k * k)
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["cell", "n", "held"])
-
-    got = docs.mapInArrow(count, "cell long, n long, held long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).toArrow()
-    out = np.zeros((2, k * k), np.int64)
-    cell = got.column("cell").to_numpy()
-    out[0, cell], out[1, cell] = got.column("n").to_numpy(), got.column("held").to_numpy()
-    return out[0].reshape(k, k), out[1].reshape(k, k)
+
+def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for *_, w, _row in _batches(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_pairs(w)[1]).view(np.int64))], names=["h"])
+
+
+def pair_counts(train: DataFrame, others: DataFrame) -> DataFrame:
+    """(h, n, held, u, w): the written table of word pairs; those that training has
+    once are in it if held out, or if a text of ``others`` may have them."""
+    counts = train.mapInArrow(_count_pairs, "h long, n long, held long, u long, w long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.max("u").alias("u"), F.max("w").alias("w"))
+    asked = train.sparkSession.sparkContext.broadcast(bitmap_of(others.mapInArrow(_distinct_pairs, "h long"), "h", BITS))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n, held = (batch.column(x).to_numpy() for x in ("h", "n", "held"))
+            yield batch.filter(pa.array((n > 1) | (held > 0) | bitmap_has(asked.value, h.view(np.uint64), BITS)))
+
+    return materialize(counts.mapInArrow(wanted, "h long, n long, held long, u long, w long"), "op8-pairs")
 
 
 def _em(estimates: np.ndarray, weight: np.ndarray, bucket: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -134,7 +161,7 @@ def _estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def interpolate(counts: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """log10 of Pc by (context, class)."""
+    """log10 of P by (context, word) for a dense table of counts, small enough for memory."""
     k = len(counts)
     bi, uni, bucket = _estimates(counts - held)
     u, w = np.nonzero(held)
@@ -144,91 +171,141 @@ def interpolate(counts: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.log10(lam[:, :1] * bi + lam[:, 1:2] * uni[None, :] + lam[:, 2:] / k)
 
 
-def _tail_weights(table: DataFrame, least: int) -> tuple[float, float, int, int]:
-    """Mixture of the shared class (own estimate, uniform), its tokens and words.
-    Held-out counts are grouped by the count left, in 1/256 steps of its logarithm."""
-    tail = table.filter(F.col("n") < least)
-    rest = F.col("n") - F.col("held")
-    got = tail.groupBy(F.floor(F.log1p(rest.cast("double")) * 256).alias("b")).agg(F.avg(rest).alias("c"), F.sum("held").alias("held"), F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(rest > 0).alias("v_rest")).collect()
-    if not got:
-        return 0.5, 0.5, 0, 0
-    tokens, kinds = sum(r["n"] for r in got), sum(r["v"] for r in got)
-    c, held = np.array([float(r["c"]) for r in got]), np.array([float(r["held"]) for r in got])
-    left = max(1.0, tokens - held.sum())
-    lam = _em(np.stack([c / left, np.full(len(c), 1 / (sum(r["v_rest"] for r in got) + 1))], 1), held, np.zeros(len(c), np.int64), 1)[0]
-    return float(lam[0]), float(lam[1]), tokens, kinds
+def _pair_weights(pairs: DataFrame, table: DataFrame, head: np.ndarray, head_rest: np.ndarray, least: int, tokens: int, kinds: int) -> np.ndarray:
+    """Weights of the three estimates by bucket, from the held-out pairs under the counts of the rest."""
+    shared = table.sparkSession.sparkContext.broadcast((head, head_rest))
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of both words where they are broadcast, and what to join the others by:
+        a word that is known has the pair's own hash, which no word has."""
+        head, rest = shared.value
+        for batch in batches:
+            cols = [batch.column("rest"), batch.column("held")]
+            for x in "uw":
+                at = _lookup(head, batch.column(x).to_numpy().view(np.uint64))
+                out = at == len(head)
+                n = np.zeros(len(at), np.int64)
+                n[~out] = rest[at[~out]]
+                cols += [pa.array(np.where(out, batch.column(x).to_numpy(), batch.column("h").to_numpy())), pa.array(n, mask=out)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rest", "held", "ku", "nu", "kw", "nw"])
+
+    got = pairs.filter(F.col("held") > 0).select("h", "u", "w", (F.col("n") - F.col("held")).alias("rest"), "held")
+    got = got.mapInArrow(attach, "rest long, held long, ku long, nu long, kw long, nw long")
+    for x in "uw":
+        rare = table.filter(F.col("n") < least).select(F.col("h").alias(f"k{x}"), (F.col("n") - F.col("held")).alias(f"r{x}"))
+        got = got.join(rare, f"k{x}", "left").withColumn(f"c{x}", F.coalesce(f"n{x}", f"r{x}", F.lit(0)))
+    bi = F.when(F.col("cu") > 0, F.col("rest") / F.col("cu")).otherwise(F.lit(0.0))
+    uni = F.col("cw") / F.lit(float(max(1, tokens)))
+    step = lambda p: F.when(p > 0, F.floor(F.log(p) * GRID))
+    weight = F.sum("held")
+    cells = got.groupBy((F.length(F.bin(F.col("cu") + 1)) - 1).alias("bucket"), step(bi).alias("x"), step(uni).alias("y"))
+    cells = cells.agg((F.sum(bi * F.col("held")) / weight).alias("bi"), (F.sum(uni * F.col("held")) / weight).alias("uni"), weight.alias("held")).toArrow()
+    bi, uni, held, bucket = (cells.column(x).to_numpy() for x in ("bi", "uni", "held", "bucket"))
+    lam = _em(np.stack([bi, uni, np.full(len(bi), 1 / (kinds + 1))], 1), held, np.minimum(bucket, BUCKETS - 1).astype(np.int64), BUCKETS)
+    lam[0, 0] = 0  # a context never seen
+    lam[0] /= lam[0].sum()
+    return lam
 
 
-def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id", "held_out"), text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id", "held_out"), text_col: str = "text", trained: Column | None = None) -> DataFrame:
     """The columns ``keep`` (of fixed width) with n_tokens, n_known, train_tokens,
     base_score and score.  ``train``: (text, held), held marking the tenth that
-    the mixture weights are learned on."""
+    the mixture weights are learned on.  ``trained``: true for documents that are
+    surely in ``train``; it saves work and changes no result."""
     spark = docs.sparkSession
     table = word_counts(train)
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, kinds = int(total["n"]), int(total["v"])
-
-    def sorted_words(least: int) -> tuple[np.ndarray, np.ndarray]:
-        got = table.filter(F.col("n") >= least).select("h", "n").toArrow()
-        h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum("held"), F.lit(0)).alias("held"), F.coalesce(F.sum(F.when(F.col("h") == int(END.view(np.int64)), F.col("n"))), F.lit(0)).alias("ends")).first()
+    n_all, kinds, ends = int(total["n"]), int(total["v"]), int(total["ends"])
+    kept = [F.col(k).alias(f"k{x}") for x, k in enumerate(keep)]
+    seen = F.coalesce(trained, F.lit(False)) if trained is not None else F.lit(False)
+    rows = docs.select(*kept, F.col(text_col).alias("text"), seen.alias("seen"))
+    pairs = pair_counts(train, rows.filter(~F.col("seen")).select("text"))
+    least = max(2, -(-n_all // HEAD))
+
+    def often(of: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = of.filter(F.col("n") >= least).select("h", "n", "held").toArrow()
+        h, n, held = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy(), got.column("held").to_numpy()
         order = np.argsort(h)
-        return h[order], n[order]
-
-    class_least, head_least = max(2, -(-n_all // CLASSES)), max(2, -(-n_all // HEAD))
-    classes, _ = sorted_words(class_least)
-    head, head_n = sorted_words(head_least)
-    pair_log = interpolate(*class_bigrams(train, classes)).astype(np.float32)
-    own, flat, tail_tokens, tail_kinds = _tail_weights(table, class_least)
-    own, flat = own / max(1, tail_tokens), flat / (tail_kinds + 1)
-    base_of = lambda c: np.log10((c + 0.1) / (n_all + 0.1 * (kinds + 1)))
-    head_base = base_of(head_n)
-    head_own = np.where(head_n >= class_least, 0.0, np.log10(own * head_n + flat))
-    shared = spark.sparkContext.broadcast((classes, head, head_base, head_own, pair_log))
+        return h[order], n[order], held[order]
+
+    head, head_n, head_held = often(table)
+    lam = _pair_weights(pairs, table, head, head_n - head_held, least, n_all - int(total["held"]), kinds)
+    if not n_all:
+        lam[:] = (0, 0, 1)
+    rare_pairs = pairs.filter(F.col("n") < least).select("h", F.col("n").alias("c"))
+    shared = spark.sparkContext.broadcast((head, head_n, *often(pairs)[:2], bitmap_of(rare_pairs, "h", BITS), lam))
     kinds_of = [docs.schema[k].dataType.simpleString() for k in keep]
 
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(g, h): the distinct words of each document that are not broadcast."""
+        head = shared.value[0]
+        for batch, i, j, h, row in _batches(batches):
+            out = _lookup(head, h) == len(head)
+            h, row = h[out], row[out]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("g").slice(i, j - i).take(pa.array(row[first])), pa.array(h[first].view(np.int64))], names=["g", "h"])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document with what is known here, and one for each of its other words."""
-        classes, head, head_base, head_own, pair_log = shared.value
-        end = _lookup(classes, np.array([END]))
+        """A row a document with what is known here, and one for each of its other pairs."""
+        head, head_n, often_h, often_n, bitmap, lam = shared.value
         for batch, i, j, h, row in _batches(batches):
             n = j - i
-            c = _lookup(classes, h)
-            value = pair_log[np.r_[end, c[:-1]], c].astype(np.float64)
-            at = _lookup(head, h)
-            inside = at < len(head)
-            value[inside] += head_own[at[inside]]
-            tokens, known = np.bincount(row, minlength=n), np.bincount(row[inside], minlength=n)
-            base = np.bincount(row[inside], head_base[at[inside]], n).astype(np.float64)  # of nothing, bincount gives integers
-            rest, own_row = h[~inside], row[~inside]
+            c = np.r_[head_n, 0][_lookup(head, h)]
+            listed = batch.column("words").slice(i, n).flatten()
+            if len(listed):
+                known, rare_n = (x.to_numpy() for x in listed.flatten())
+                known, first = np.unique(known.view(np.uint64), return_index=True)
+                c += np.r_[rare_n[first], 0][_lookup(known, h)]
+            before = np.r_[ends, c[:-1]]
+            bucket = np.minimum(np.frexp(before + 1.0)[1] - 1, BUCKETS - 1)
+            _, pair = _pairs(h)
+            at = _lookup(often_h, pair)
+            least = batch.column("seen").to_numpy(zero_copy_only=False)[i:j][row].astype(np.int64)
+            both = np.where(at < len(often_h), np.r_[often_n, 0][at], least)
+            open_ = (at == len(often_h)) & (before > 0) & (c > 0) & (bitmap_has(bitmap, pair, BITS) > 0)
+            part = lam[bucket]
+            value = np.log10(part[:, 0] * both / np.maximum(before, 1) + part[:, 1] * c / max(1, n_all) + part[:, 2] / (kinds + 1))
+            value[open_] = 0
+            base = np.log10((c + 0.1) / (n_all + 0.1 * (kinds + 1)))
+            tokens, known = np.bincount(row, minlength=n), np.bincount(row[c > 0], minlength=n)
+            rest, own_row, where = pair[open_], row[open_], np.flatnonzero(open_)
             order = np.lexsort((rest, own_row))
-            rest, own_row = rest[order], own_row[order]
+            rest, own_row, where = rest[order], own_row[order], where[order]
             first = np.flatnonzero(np.r_[True, (rest[1:] != rest[:-1]) | (own_row[1:] != own_row[:-1])]) if len(rest) else np.empty(0, np.int64)
-            m = len(first)
+            m, at = len(first), where[first]
             rid = batch.column("rid").slice(i, n)
             null = lambda t: pa.nulls(m, t)
             both = lambda doc, word: pa.concat_arrays([doc, word])
+            zero = pa.array(np.zeros(n, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     both(rid, rid.take(pa.array(own_row[first]))),
                     both(rid, pa.array(rest[first].view(np.int64))),
-                    both(pa.array(np.zeros(n, np.int64)), pa.array(np.diff(np.r_[first, len(rest)]))),
+                    *(both(zero, pa.array(x.astype(np.int64))) for x in (np.diff(np.r_[first, len(rest)]), before[at], c[at], bucket[at] * 2 + least[at])),
                     *(both(batch.column(f"k{x}").slice(i, n), null(batch.column(f"k{x}").type)) for x in range(len(keep))),
-                    *(both(pa.array(x), pa.array(np.zeros(m, x.dtype))) for x in (tokens, known, base, np.bincount(row, value, n).astype(np.float64))),
+                    *(both(pa.array(x), null(pa.from_numpy_dtype(x.dtype))) for x in (tokens, known, np.bincount(row, base, n).astype(np.float64), np.bincount(row, value, n).astype(np.float64))),
                 ],
                 names=names,
             )
 
-    names = ["rid", "h", "n", *(f"k{x}" for x in range(len(keep))), "tokens", "known", "base", "value"]
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(k).alias(f"k{x}") for x, k in enumerate(keep)), F.col(text_col).alias("text"))
-    posted = rows.mapInArrow(post, ", ".join(f"{a} {b}" for a, b in zip(names, ["long", "long", "long", *kinds_of, "long", "long", "double", "double"], strict=True)))
-    rare = table.filter(F.col("n") < head_least).select("h", F.col("n").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    joined = posted.join(rare, "h", "left").groupBy("rid").agg(
+    # Words are brought to a document by what it holds, so equal rows share them and nothing depends on the order of rows.
+    rows = rows.select("*", F.xxhash64(*(f"k{x}" for x in range(len(keep))), "text").alias("g"))
+    rare = table.filter(F.col("n") < least).select("h", F.col("n").alias("c"))
+    words = rows.select("g", "text").mapInArrow(rare_words, "g long, h long").join(rare, "h").groupBy("g").agg(F.collect_list(F.struct("h", "c")).alias("words"))
+    rows = rows.join(words, "g", "left").withColumn("rid", F.monotonically_increasing_id())
+    names = ["rid", "h", "n", "cu", "cw", "b", *(f"k{x}" for x in range(len(keep))), "tokens", "known", "base", "value"]
+    posted = rows.mapInArrow(post, ", ".join(f"{a} {b}" for a, b in zip(names, ["long"] * 6 + [*kinds_of, "long", "long", "double", "double"], strict=True)))
+    weight = lambda x: F.get(F.array(*(F.lit(float(v)) for v in lam[:, x])), F.shiftright("b", 1).cast("int"))
+    count = F.coalesce("c", F.col("b") % 2)
+    log_p = F.log10(weight(0) * count / F.greatest("cu", F.lit(1)) + weight(1) * F.col("cw") / F.lit(float(max(1, n_all))) + weight(2) / F.lit(float(kinds + 1)))
+    joined = posted.join(rare_pairs, "h", "left").groupBy("rid").agg(
         *(F.max(f"k{x}").alias(k) for x, k in enumerate(keep)),
         F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("n") > 0, F.col("n") * F.log10((c + 0.1) / F.lit(n_all + 0.1 * (kinds + 1)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("value") + F.when(F.col("n") > 0, F.col("n") * F.log10(c * F.lit(own) + F.lit(flat))).otherwise(0.0)).alias("score"),
+        F.sum("known").alias("n_known"),
+        F.sum("base").alias("base_score"),
+        F.sum(F.coalesce("value", F.lit(0.0)) + F.when(F.col("n") > 0, F.col("n") * log_p).otherwise(0.0)).alias("score"),
     )
     return joined.select(*keep, "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -236,7 +313,7 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 10) == 0)
     train = docs.filter(~F.col("held_out")).select("text", (crc_mod("doc_id", 10) == 1).cast("int").alias("held"))
-    return score(docs, train)
+    return score(docs, train, trained=~F.col("held_out"))
 
 
 QUERIES = {"op8_lm_score": op8_lm_score}

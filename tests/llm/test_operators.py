@@ -300,6 +300,48 @@ def test_op8_model_is_a_distribution():
     assert (10 ** lm.interpolate(counts, held)).sum(1) == pytest.approx(np.ones(6))
 
 
+def test_op8_whole_words_against_brute_force(spark, corpus):
+    df = spark.createDataFrame([(k, t) for k, t, _ in corpus], "doc_id long, text string")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    df = df.withColumn("held_out", part == 0)
+    train = df.filter("not held_out").select("text", (part == 1).cast("int").alias("held"))
+    toks = {k: ["\0end", *tokens(t), "\0end"] for k, t, _ in corpus}
+    where = {k: zlib.crc32(str(k).encode()) % 10 for k in toks}
+    two = {h: Counter(p for k, ws in toks.items() if where[k] and (where[k] == 1) == h for p in zip(ws, ws[1:], strict=False)) for h in (False, True)}
+
+    def estimates(pairs):
+        of, one = Counter(), Counter()
+        for (u, w), c in pairs.items():
+            of[u] += c
+            one[w] += c
+        return of, one
+
+    every = two[False] + two[True]
+    of, one = estimates(two[False])
+    v = len(estimates(every)[1])
+    events = [(int(math.log2(of[u] + 1)), (two[False][u, w] / max(1, of[u]), one[w] / sum(one.values()), 1 / (v + 1)), c) for (u, w), c in two[True].items()]
+    lam = {b: [1 / 3] * 3 for b in range(lm.BUCKETS)}
+    for _ in range(lm.ROUNDS):
+        got = {b: [1e-3] * 3 for b in lam}
+        for b, p, c in events:
+            mixed = sum(x * y for x, y in zip(lam[b], p, strict=True))
+            for x in range(3):
+                got[b][x] += c * lam[b][x] * p[x] / mixed
+        lam = {b: [x / sum(g) for x in g] for b, g in got.items()}
+    lam[0] = [0, lam[0][1] / sum(lam[0][1:]), lam[0][2] / sum(lam[0][1:])]
+    of, one = estimates(every)
+    total = sum(one.values())
+
+    def log_p(u, w):
+        a = lam[int(math.log2(of[u] + 1))]
+        return math.log10(a[0] * every[u, w] / max(1, of[u]) + a[1] * one[w] / total + a[2] / (v + 1))
+
+    want = {k: sum(log_p(u, w) for u, w in zip(ws, ws[1:], strict=False)) for k, ws in toks.items()}
+    for marked in (None, ~F.col("held_out")):
+        got = {r["doc_id"]: r["score"] for r in lm.score(df, train, trained=marked).collect()}
+        assert got == pytest.approx(want, rel=1e-3)
+
+
 def test_op9_reordered(spark):
     item = prose(40, "item").split()
     items = spark.createDataFrame([(1, " ".join(item)), (2, "two words"), (3, None), (4, prose(30, "other"))], "item_id long, text string")
