@@ -202,18 +202,22 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
 
 
 def _outside_hashes(html: str | None) -> list[int]:
-    """Hashes of the distinct subtrees outside articles that have content."""
+    """Hashes of the distinct subtrees outside articles that have content; what holds an article is none."""
     if not html:
         return []
     root = parse(html)
     nodes = _all(root)
     hash_subtrees(nodes)
+    holds: set[int] = set()
+    for n in reversed(nodes):
+        if any(isinstance(c, Node) and (c.tag in ("article", "main") or id(c) in holds) for c in n.children):
+            holds.add(id(n))
     out, todo = set(), [c for c in root.children if isinstance(c, Node)]
     while todo:
         n = todo.pop()
         if n.tag in ("article", "main", "head"):
             continue
-        if n.tag not in ("html", "body") and n.children:
+        if n.tag not in ("html", "body") and n.children and id(n) not in holds:
             out.add(n.hash)
         todo += [c for c in n.children if isinstance(c, Node)]
     return sorted(out)

@@ -278,6 +278,12 @@ def test_op7_template_of_a_host(spark):
     assert got[50] == "Site of many\n\nx" and got[51] == "" and got[52] == "" and unescape("&lt;") == "<"
 
 
+def test_op7_copies_of_a_wrapped_article(spark):
+    rows = [(k, f"http://h.example/{k}", f"<body><div id=page><nav>go</nav><article><p>{prose(40, 'wrapped')}</p></article></div></body>") for k in range(12)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 12 and all(r["text"] == prose(40, "wrapped") for r in got)
+
+
 def test_op8_base_and_model(spark, corpus):
     df = spark.createDataFrame([(k, t) for k, t, _ in corpus], "doc_id long, text string")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
