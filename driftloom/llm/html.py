@@ -2,22 +2,26 @@
 
 1. Every page becomes a tree (tag soup tolerated: implied end tags, unclosed
    inline tags, raw script and style).
-2. Each element subtree outside the article has a hash over tag, attributes and
-   content.  Spark counts the pages of a host on which a hash occurs; those on at
-   least ``LEAST`` pages and ``SHARE`` of the host's pages are its template.  As
-   they are a fixed share of the pages, a host has at most 1 / SHARE times its
-   mean number of subtrees a page, however many pages it has.
+2. Each element subtree has a hash over tag, attributes and content, apart for
+   those outside and inside article and main; inside, blocks count that stand for
+   themselves (not inline elements, paragraphs, headings, list items, cells).  An element that
+   holds an article or main has none.  Spark counts the different pages of a host on
+   which a hash occurs; those on at least ``LEAST`` pages and ``SHARE`` of the
+   host's are its template.  As they are a fixed share of the pages, a host has at
+   most 1 / SHARE times its mean number of subtrees a page, however many it has.
 3. The template's subtrees are deleted, and so are elements that say what they
    are (nav, aside, form, class "ad", ...), which covers hosts with few pages.
 4. What remains of the article elements (or main, or body, the first that there
    is) is read block by block.
 
-The article itself is never deleted by recurrence: copies of an article, and
-passages that many articles share, are content.
+Pages are different outside the article if their trees are, and inside it if the
+least hash of the article's three-word runs is.  So copies and near copies of an
+article are one page, and content, while a box that comes with articles of other
+text is template.
 
 Defined results: null or empty html gives an empty text; a null or odd url has
-the empty host, whose pages count together; repeated pages count and come out
-each; extra columns of the table are left aside; an empty table gives no rows.
+the empty host, whose pages count together; repeated pages count once and come
+out each; extra columns of the table are left aside; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +48,9 @@ _BLOCK = frozenset(
 #: A start tag of the left closes an open one of the right, up to the nearest element that holds it.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
+#: Blocks that may be template inside an article: boxes, as a bare paragraph, heading, item or cell is running text.
+_BOXES = _BLOCK - frozenset("caption dd dt fieldset figcaption h1 h2 h3 h4 h5 h6 hr html body legend li p pre blockquote summary tbody td tfoot th thead tr".split())
+_INSIDE = 0x2545F4914F6CDD1D  # sets hashes inside an article apart
 _DROP_TAGS = frozenset("head nav aside form button select input textarea script style noscript template iframe object svg canvas title dialog".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _DROP_WORDS = frozenset(
@@ -161,6 +169,10 @@ def _roots(root: Node, template: frozenset[int]) -> list[Node]:
     return found["article"] or found["main"] or [root]
 
 
+def _recurs(n: Node, inside: bool, template: frozenset[int]) -> bool:
+    return n.tag in _BOXES and n.hash ^ _INSIDE in template if inside else n.hash in template
+
+
 def _read(tops: list[Node], template: frozenset[int]) -> list[str]:
     """The blocks below ``tops`` in page order, without what goes."""
     blocks: list[str] = []
@@ -181,7 +193,7 @@ def _read(tops: list[Node], template: frozenset[int]) -> list[str]:
             text.append(n)
         elif n.tag == "br":
             text.append(" ")
-        elif n not in tops and (not inside and n.hash in template or _says_it(n, inside)):
+        elif n not in tops and (_recurs(n, inside, template) or _says_it(n, inside)):
             text.append(" ")
         else:
             if n.tag in _BLOCK:
@@ -201,10 +213,17 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(_read(_roots(root, template), template))
 
 
-def _outside_hashes(html: str | None) -> list[int]:
-    """Hashes of the distinct subtrees outside articles that have content; what holds an article is none."""
+def _least_run(tops: list[Node]) -> int:
+    """The least hash of the three-word runs of the text below ``tops``."""
+    words = " ".join(_read(tops, frozenset())).split()
+    return min((crc32(" ".join(words[k : k + 3]).encode("utf-8", "replace")) for k in range(max(1, len(words) - 2))), default=0)
+
+
+def page_hashes(html: str | None) -> tuple[int, int, list[int], list[int]]:
+    """What tells the page from others outside and inside articles, and the hashes of
+    the distinct subtrees with content there."""
     if not html:
-        return []
+        return 0, 0, [], []
     root = parse(html)
     nodes = _all(root)
     hash_subtrees(nodes)
@@ -212,23 +231,32 @@ def _outside_hashes(html: str | None) -> list[int]:
     for n in reversed(nodes):
         if any(isinstance(c, Node) and (c.tag in ("article", "main") or id(c) in holds) for c in n.children):
             holds.add(id(n))
-    out, todo = set(), [c for c in root.children if isinstance(c, Node)]
+    out, within = set(), set()
+    todo = [(c, False) for c in root.children if isinstance(c, Node)]
     while todo:
-        n = todo.pop()
-        if n.tag in ("article", "main", "head"):
+        n, inside = todo.pop()
+        if n.tag == "head":
             continue
-        if n.tag not in ("html", "body") and n.children and id(n) not in holds:
-            out.add(n.hash)
-        todo += [c for c in n.children if isinstance(c, Node)]
-    return sorted(out)
+        if n.tag in ("article", "main"):
+            inside = True
+        elif n.tag not in ("html", "body") and n.children and id(n) not in holds:
+            if not inside:
+                out.add(n.hash)
+            elif n.tag in _BOXES:
+                within.add(n.hash ^ _INSIDE)
+        todo += [(c, inside) for c in n.children if isinstance(c, Node)]
+    return root.hash, _least_run(_roots(root, frozenset())) if within else 0, sorted(out), sorted(within)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, hashes): two rows a page, of what is outside, with a null that
+    stands for the page itself, and of what is inside."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            got = [_outside_hashes(x) for x in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(got, pa.list_(pa.int64()))], names=["host", "hashes"])
+            got = [page_hashes(x) for x in part.column("html").to_pylist()]
+            hosts, pages = pa.concat_arrays([part.column("host")] * 2), [g[0] for g in got] + [g[1] for g in got]
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(pages, pa.int64()), pa.array([[None, *g[2]] for g in got] + [g[3] for g in got], pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +280,8 @@ def host_of(url: Column) -> Column:
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(host, hashes): the recurring subtrees of each host that has any."""
-    each = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_hashes, "host string, hashes array<long>")
-    # A null element counts the page itself.
-    counts = each.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").count()
+    each = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_hashes, "host string, page long, hashes array<long>")
+    counts = each.select("host", "page", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").count()
     counts = materialize(counts.filter((F.col("count") >= least) | F.col("hash").isNull()), "op7-counts")
     whole = counts.filter(F.col("hash").isNull()).select("host", F.col("count").alias("pages"))
     often = counts.filter(F.col("hash").isNotNull()).join(whole, "host").filter(F.col("count") >= F.col("pages") * F.lit(share))

@@ -278,6 +278,17 @@ def test_op7_template_of_a_host(spark):
     assert got[50] == "Site of many\n\nx" and got[51] == "" and got[52] == "" and unescape("&lt;") == "<"
 
 
+def test_op7_box_inside_articles(spark):
+    box = "<div class=x1><p>Get our letter</p><ul><li>one</li></ul></div>"
+    near = prose(200, "near").split()
+    texts = [prose(60, f"box{k}") for k in range(10)] + [" ".join([*near[:k], "edit", *near[k:]]) for k in range(8)] + [prose(60, "copy")] * 8
+    page = lambda k, t: f"<body><div><article><h1>Same</h1><p>{t}</p><p>{prose(50, 'near')}</p>{box if k < 10 else ''}<p>a <b>bold</b> b{k}</p></article></div></body>" if 10 <= k < 18 else f"<body><div><article><h1>Same</h1><p>{t}</p>{box if k < 10 else ''}<p>a <b>bold</b> {t.split()[0]}</p></article></div></body>"
+    rows = [(k, f"http://h.example/{k}", page(k, t)) for k, t in enumerate(texts)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == (["Same", t, prose(50, "near"), f"a bold b{k}"] if 10 <= k < 18 else ["Same", t, f"a bold {t.split()[0]}"])
+
+
 def test_op7_copies_of_a_wrapped_article(spark):
     rows = [(k, f"http://h.example/{k}", f"<body><div id=page><nav>go</nav><article><p>{prose(40, 'wrapped')}</p></article></div></body>") for k in range(12)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
