@@ -95,7 +95,7 @@ def _sign(n: int):
                 sigs = [signature(s) if len(s) else s for s in sets]
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for s in sigs])].astype(np.int32), pa.array(np.concatenate(sigs).astype(np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_id(s) for s in sets], pa.binary()), lists], names=["id", "n", "cid", "sig"]
+                    [batch.column("id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_id(s) for s in sets], pa.binary()), lists], names=["id", "th", "n", "cid", "sig"]
                 )
 
     return run
@@ -180,13 +180,14 @@ def _second_pairs(families: DataFrame, labels: DataFrame, link: tuple[int, int])
     return joined.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, shingle: int = SHINGLE) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of ``docs``."""
+def _components(docs: DataFrame, id_col: str, text_col: str, link: tuple[int, int], shingle: int) -> DataFrame:
+    """(id, th, cid, n, component_id, label) of every row of ``docs``: th is its text's
+    hash, and label names its component by a class."""
     spark = docs.sparkSession
     t = least_matches(K, link[0] / link[1])
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(shingle), f"id {kind}, n long, cid binary, sig array<long>"), "op2-signatures")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    signed = materialize(rows.mapInArrow(_sign(shingle), f"id {kind}, th long, n long, cid binary, sig array<long>"), "op2-signatures")
     some = signed.filter(F.col("n") > 0)
     classes = materialize(some.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "op2-classes")
 
@@ -213,12 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("cid", "id").join(labels.withColumnRenamed("v", "cid"), "cid")
     roots = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    linked = named.join(roots, "label").select("cid", "component_id")
-    known = classes.select("cid", "id").join(linked, "cid", "left").select("cid", F.coalesce("component_id", "id").alias("component_id"))
+    linked = named.join(roots, "label").select("cid", "component_id", "label")
+    known = classes.select("cid", "id").join(linked, "cid", "left").select("cid", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("label", "cid").alias("label"))
     by_class = materialize(known, "op2-components")
-    out = signed.select("id", "n", "cid").join(by_class, "cid", "left")
+    out = signed.select("id", "th", "n", "cid").join(by_class, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    return out.select("id", "th", "cid", "n", component.alias("component_id"), "label")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, shingle: int = SHINGLE) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row of ``docs``."""
+    component = F.col("component_id")
+    return _components(docs, id_col, text_col, link, shingle).select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +233,21 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK) -> DataFrame:
-    """``docs`` with one document of every group of near duplicates, that of the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, link).filter(~F.col("kept")).select(F.col("id").alias("__op2_id")).distinct()
-    return docs.join(materialize(gone, "op2-gone"), docs[id_col] == F.col("__op2_id"), "left_anti")
+    """``docs`` with one row of every group of near duplicates: that of the smallest id,
+    of its texts the one of the smallest hash, and of equal rows one.  Texts without
+    words are in no group and stay."""
+    key = ["__op2_id", "__op2_th"]
+    found = _components(docs, id_col, text_col, link, SHINGLE).filter(F.col("n") > 0).groupBy("id", "th", "label").agg(F.count("*").alias("rows"))
+    found = materialize(found, "op2-rows")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    marks = found.join(first, "label").select(F.col("id").alias(key[0]), F.col("th").alias(key[1]), stays.alias("__op2_stays"), "rows")
+    gone = materialize(marks.filter(~F.col("__op2_stays")).select(key), "op2-gone")
+    again = materialize(marks.filter(F.col("__op2_stays") & (F.col("rows") > 1)).select(key), "op2-again")
+    same = docs[id_col].eqNullSafe(F.col(key[0])) & (F.xxhash64(docs[text_col]) == F.col(key[1]))
+    left = docs.join(gone.union(again), same, "left_anti")
+    one = docs.join(again, same).dropDuplicates(key).select(*(docs[c] for c in docs.columns))
+    return left.union(one)
 
 
 QUERIES = {"op2_near_dup": op2_near_dup}

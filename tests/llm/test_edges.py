@@ -31,6 +31,13 @@ def test_near_duplicates(docs):
         assert neardup.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_by_row(spark):
+    text, other = "a b c d e f g", "quite another text of the same id here"
+    rows = [(1, text), (1, text), (None, text), (4, text), (4, other), (None, "null id twice and no other row"), (None, "null id twice and no other row"), (2, None), (3, "")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, text), (4, other), rows[5], (2, None), (3, "")]))
+
+
 def test_language(docs):
     out = langid.predict(docs, langid.train(docs)).collect()
     assert len(out) == docs.count() and all(r["lang_pred"] for r in out)
