@@ -10,17 +10,23 @@ learned by expectation-maximisation on the word pairs of a held-out tenth of the
 training documents, under estimates of the others; then the estimates are taken
 from all of them.  A context never seen has no a1.
 
-Data flow.  Counts of words and of word pairs are pre-aggregated by task and
-summed in Spark into written tables that grow with the corpus.  Words and pairs of
-at least 1 token in ``HEAD`` (so at most ``HEAD`` each) are broadcast; a document's
-other words get their counts by a join, and so do its other pairs, after being
-counted by document.  Pairs that training has once are written only if a held-out
-document or one outside training may have them: a document marked as trained on
-knows by itself that its pair has a count of 1 if the table has none.  What may
-be in the table is told by bitmaps of fixed size; a full one costs time, not
-results.  EM sees the held-out pairs by bucket and in 1/``GRID`` steps of the
-logarithms of their two estimates, which is a bounded table.  Words and pairs are
-compared by 64-bit hashes.
+Data flow: an exchange of counts.
+1. Documents are read once into *chunks* of about ``TOKENS`` tokens, a written
+   table: the chunk's words and the tokens as places in that list.
+2. A chunk asks for each of its distinct words and word pairs once, and tells how
+   often it has them.  Keys are 64-bit hashes, sorted; those of one range of hashes
+   (a *part*, of about ``PART`` keys over all chunks) are one row of packed
+   differences.
+3. A part adds up what the chunks tell, which gives the counts of the whole corpus,
+   and answers every row with the counts of its keys, in the row's order.  So only
+   counts travel back, a byte or so each; they are a written table.
+4. A chunk puts its answers together and scores its documents; before that,
+   held-out chunks give the events of EM, by bucket and in 1/``GRID`` steps of the
+   logarithms of their two estimates, which is a bounded table.
+
+Every count is exact and every word keeps its pairs, at any size; nothing is
+broadcast but the weights.  Memory follows a chunk (or the longest document) and a
+part.  A word as common as can be costs a part one key a chunk.
 
 Defined results: a null text is one end token; repeated rows are scored each; a
 null id counts as empty text for the split; without training documents N and V
@@ -30,6 +36,7 @@ rows.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, bitmap_of, chunks, crc_mod, load, materialize, mix, text_buffer, word_hashes
+from .common import chunks, crc_mod, load, materialize, mix, text_buffer, word_hashes
 
-HEAD, GATHER, ROUNDS, GRID, BITS = 1_000_000, 2_000_000, 40, 8, 26
+TOKENS, PART, ROUNDS, GRID = 1 << 20, 1 << 19, 40, 8
 END = np.uint64(0x5EED0E4D5EED0E4D)
 BUCKETS = 48
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
+#: What a document is for: scored, learned from and scored, held out for the weights and scored, and the last two without being scored.
+SCORED, LEARNED, HELD, LEARNED_ONLY, HELD_ONLY = range(5)
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,93 +62,184 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at, END), np.insert(row, at, np.arange(n))
 
 
-def _lookup(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Positions in the sorted keys, or len(keys)."""
-    if not len(keys):
-        return np.zeros(len(h), np.int64)
-    at = np.searchsorted(keys, h)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == h, at, len(keys))
+# -- packing -----------------------------------------------------------------
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        buf, offs = text_buffer(batch.column("text"))
-        for i, j in chunks(offs):
-            yield batch, i, j, *_tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+def _pack(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Non-negative numbers in as many bytes each as the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel(), width
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, tokens, those of held-out documents), summed over many chunks at once."""
+def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes cut at ``ends`` (with a 0 first)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
-    def out() -> pa.RecordBatch:
-        u, inv = np.unique(np.concatenate(hs), return_inverse=True)
-        held = np.bincount(inv, np.concatenate(flags), len(u)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, minlength=len(u))), pa.array(held)], names=["h", "n", "held"])
 
-    hs, flags, size = [], [], 0
-    for batch, i, j, h, row in _batches(batches):
-        hs.append(h)
-        flags.append(batch.column("held").to_numpy(zero_copy_only=False)[i:j][row])
-        size += len(h)
-        if size >= GATHER:
-            yield out()
-            hs, flags, size = [], [], 0
-    if size:
-        yield out()
+def _unpack(blobs: pa.Array, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of rows packed in ``width`` bytes each, and the numbers a row."""
+    raw, offs = text_buffer(blobs)
+    size = np.diff(offs) // width
+    out = np.zeros(int(size.sum()), np.uint64)
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        n = size[rows]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at, to = np.repeat(offs[rows], n) + within * w, np.repeat(begin[rows], n) + within
+        got = np.zeros(len(at), np.uint64)
+        for b in range(w):
+            got |= raw[at + b].astype(np.uint64) << np.uint64(8 * b)
+        out[to] = got
+    return out, size
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n, held) of (text, held): the written table of token counts."""
-    rows = docs.mapInArrow(_count, "h long, n long, held long")
-    return materialize(rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "op8-counts")
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens' contexts, and hashes of (context, token)."""
-    before = np.r_[END, h[:-1]]  # a row's last token is an end, the next row's context
-    return before, mix(before * _FIRST + h)
+def _least_key(part: np.ndarray, parts: int) -> np.ndarray:
+    part = part.astype(np.uint64)
+    return (((part << np.uint64(32)) + np.uint64(parts - 1)) // np.uint64(parts)) << np.uint64(32)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, pairs, those of held-out documents; context and word if there are some)."""
+# -- chunks ------------------------------------------------------------------
 
-    def out() -> pa.RecordBatch:
-        h, first, inv = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
-        held = np.bincount(inv, np.concatenate(flags), len(h)).astype(np.int64)
-        ends = [pa.array(np.concatenate(x)[first].view(np.int64), mask=held == 0) for x in (us, ws)]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(inv, minlength=len(h))), pa.array(held), *ends], names=["h", "n", "held", "u", "w"])
 
-    hs, us, ws, flags, size = [], [], [], [], 0
-    for batch, i, j, w, row in _batches(batches):
-        u, h = _pairs(w)
-        for x, y in ((hs, h), (us, u), (ws, w), (flags, batch.column("held").to_numpy(zero_copy_only=False)[i:j][row])):
-            x.append(y)
-        size += len(h)
-        if size >= GATHER:
-            yield out()
-            hs, us, ws, flags, size = [], [], [], [], 0
-    if size:
-        yield out()
+def _gather(kept_columns: int):
+    """Rows (role, k0.., text) to chunks of one role each."""
+    names = ["chunk", "role", "words", "ids", "id_width", "sizes", "size_width", "n_tokens", "n_words", *(f"k{x}" for x in range(kept_columns))]
 
+    def out(role: int, hs: list, sizes: list, kept: list) -> pa.RecordBatch:
+        words, ids, n = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # the commonest words get the smallest places
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        ids, id_width = _pack(place[ids])
+        size, size_width = _pack(np.concatenate(sizes))
+        cols = [int.from_bytes(os.urandom(8), "big") >> 1, role, words[order].tobytes(), ids.tobytes(), id_width, size.tobytes(), size_width, int(n.sum()), len(words)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays([k[x] for k in kept]) for x in range(kept_columns))]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([*(pa.array([c], t) for c, t in zip(cols, types, strict=True)), *lists], names=names)
 
-def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for *_, w, _row in _batches(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_pairs(w)[1]).view(np.int64))], names=["h"])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, list] = {}
+        for batch in batches:
+            roles = batch.column("role").to_numpy()
+            for role in np.unique(roles).tolist():
+                part = batch.filter(pa.array(roles == role))
+                buf, offs = text_buffer(part.column("text"))
+                for i, j in chunks(offs):
+                    h, row = _tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    have = open_.setdefault(role, [[], [], [], 0])
+                    have[0].append(h)
+                    have[1].append(np.bincount(row, minlength=j - i))
+                    have[2].append([part.column(f"k{x}").slice(i, j - i) for x in range(kept_columns)])
+                    have[3] += len(h)
+                    if have[3] >= TOKENS:
+                        yield out(role, *open_.pop(role)[:3])
+        for role, have in open_.items():
+            yield out(role, *have[:3])
+
+    return run
+
+
+class _Chunk:
+    """One chunk: its words in the order of hashes, its tokens, its pairs in the order of theirs."""
+
+    def __init__(self, row: dict) -> None:
+        words = np.frombuffer(row["words"], np.uint64)
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        ids, _ = _unpack(pa.array([row["ids"]], pa.binary()), np.array([row["id_width"]]))
+        self.words, self.at = words[order], place[ids.astype(np.int64)]
+        self.word_n = np.bincount(self.at, minlength=len(words))
+        # A document's last token is an end, the next one's context.
+        before = np.r_[np.searchsorted(self.words, END), self.at[:-1]]
+        both, self.pair, n = np.unique(before * len(words) + self.at, return_inverse=True, return_counts=True)
+        u, w = both // len(words), both % len(words)
+        keys = mix(self.words[u] * _FIRST + self.words[w])
+        order = np.argsort(keys)
+        self.pair_at = np.empty(len(keys), np.int64)
+        self.pair_at[order] = np.arange(len(keys))
+        self.pairs, self.pair_n, self.u, self.w = keys[order], n[order], u[order], w[order]
+
+
+def _ask(word_parts: int, pair_parts: int):
+    """What chunks ask for and tell: (part, chunk, role, keys, key_width, n, n_width);
+    parts of words come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
+                c = _Chunk(row)
+                for keys, n, parts, first in ((c.words, c.word_n, word_parts, 0), (c.pairs, c.pair_n, pair_parts, word_parts)):
+                    part = _part_of(keys, parts)
+                    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                    step = np.diff(keys, prepend=np.uint64(0))
+                    step[begin] = keys[begin] - _least_key(part[begin], parts)
+                    ends = np.r_[begin, len(keys)]
+                    (data, key_width), (told, n_width) = _pack(step), _pack(n)
+                    same = lambda v, t: pa.array(np.full(len(begin), v), t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part[begin].astype(np.int64) + first), same(row["chunk"], pa.int64()), same(row["role"], pa.int32()), _blobs(data, ends * key_width), same(key_width, pa.int32()), _blobs(told, ends * n_width), same(n_width, pa.int32())],
+                        names=["part", "chunk", "role", "keys", "key_width", "n", "n_width"],
+                    )
+
+    return run
+
+
+def _answer(word_parts: int, pair_parts: int):
+    """Rows sorted by part to (chunk, part, n, n_width, held, held_width, kinds): the
+    counts in all training documents and in held-out ones; kinds is, once a part, the
+    number of its keys that training has."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        col = lambda c: t.column(c).combine_chunks() if t.num_rows else t.column(c)
+        one = lambda c: col(c).to_numpy()
+        part = int(one("part")[0])
+        words = part < word_parts
+        step, size = _unpack(col("keys"), one("key_width"))
+        told, _ = _unpack(col("n"), one("n_width"))
+        total = np.cumsum(step, dtype=np.uint64)
+        before = np.r_[np.uint64(0), total][np.cumsum(size) - size]
+        least = _least_key(np.array([part if words else part - word_parts]), word_parts if words else pair_parts)[0]
+        _, at = np.unique(total - np.repeat(before, size) + least, return_inverse=True)
+        role = np.repeat(one("role"), size)
+        n = np.bincount(at, told * (role != SCORED)).astype(np.int64)
+        held = np.bincount(at, told * ((role == HELD) | (role == HELD_ONLY)), len(n)).astype(np.int64)
+        (n_data, n_width), (held_data, held_width) = _pack(n[at]), _pack(held[at])
+        ends, rows = np.r_[0, np.cumsum(size)], t.num_rows
+        same = lambda v: pa.array(np.full(rows, v, np.int32))
+        kinds = np.zeros(rows, np.int64)
+        kinds[0] = np.count_nonzero(n)
+        return pa.RecordBatch.from_arrays([col("chunk"), col("part"), _blobs(n_data, ends * n_width), same(n_width), _blobs(held_data, ends * held_width), same(held_width), pa.array(kinds)], names=["chunk", "part", "n", "n_width", "held", "held_width", "kinds"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            cut = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)] if len(part) else np.zeros(1, int)
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if open_ and open_[0].column("part")[0].as_py() != part[i]:
+                    yield solve(pa.Table.from_batches(open_))
+                    open_ = []
+                open_.append(batch.slice(i, j - i))
+        if open_:
+            yield solve(pa.Table.from_batches(open_))
 
-def pair_counts(train: DataFrame, others: DataFrame) -> DataFrame:
-    """(h, n, held, u, w): the written table of word pairs; those that training has
-    once are in it if held out, or if a text of ``others`` may have them."""
-    counts = train.mapInArrow(_count_pairs, "h long, n long, held long, u long, w long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.max("u").alias("u"), F.max("w").alias("w"))
-    asked = train.sparkSession.sparkContext.broadcast(bitmap_of(others.mapInArrow(_distinct_pairs, "h long"), "h", BITS))
+    return run
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n, held = (batch.column(x).to_numpy() for x in ("h", "n", "held"))
-            yield batch.filter(pa.array((n > 1) | (held > 0) | bitmap_has(asked.value, h.view(np.uint64), BITS)))
 
-    return materialize(counts.mapInArrow(wanted, "h long, n long, held long, u long, w long"), "op8-pairs")
+def _counts(chunk: _Chunk, answers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the chunk's words and pairs, then those in held-out documents."""
+    rows = answers.take(pa.array(np.argsort(answers.field("part").to_numpy(), kind="stable")))
+    n, held = (_unpack(rows.field(c), rows.field(f"{c}_width").to_numpy())[0].astype(np.int64) for c in ("n", "held"))
+    k = len(chunk.words)
+    return n[:k], n[k:], held[:k], held[k:]
 
 
 def _em(estimates: np.ndarray, weight: np.ndarray, bucket: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -154,10 +254,14 @@ def _em(estimates: np.ndarray, weight: np.ndarray, bucket: np.ndarray, n_buckets
     return lam
 
 
+def _bucket(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(n + 1.0)[1] - 1, BUCKETS - 1)
+
+
 def _estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bigram and unigram estimates, and the buckets of the contexts."""
     of = counts.sum(1)
-    return counts / np.maximum(of, 1)[:, None], counts.sum(0) / max(1, counts.sum()), np.minimum(np.log2(of + 1).astype(np.int64), BUCKETS - 1)
+    return counts / np.maximum(of, 1)[:, None], counts.sum(0) / max(1, counts.sum()), _bucket(of)
 
 
 def interpolate(counts: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -171,149 +275,106 @@ def interpolate(counts: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.log10(lam[:, :1] * bi + lam[:, 1:2] * uni[None, :] + lam[:, 2:] / k)
 
 
-def _pair_weights(pairs: DataFrame, table: DataFrame, head: np.ndarray, head_rest: np.ndarray, least: int, tokens: int, kinds: int) -> np.ndarray:
-    """Weights of the three estimates by bucket, from the held-out pairs under the counts of the rest."""
-    shared = table.sparkSession.sparkContext.broadcast((head, head_rest))
+def _cells(tokens: int):
+    """(bucket, x, y, bi, uni, held): the held-out pairs of chunks, under the counts of
+    the other training documents, ``tokens`` in all."""
 
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of both words where they are broadcast, and what to join the others by:
-        a word that is known has the pair's own hash, which no word has."""
-        head, rest = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column("rest"), batch.column("held")]
-            for x in "uw":
-                at = _lookup(head, batch.column(x).to_numpy().view(np.uint64))
-                out = at == len(head)
-                n = np.zeros(len(at), np.int64)
-                n[~out] = rest[at[~out]]
-                cols += [pa.array(np.where(out, batch.column(x).to_numpy(), batch.column("h").to_numpy())), pa.array(n, mask=out)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rest", "held", "ku", "nu", "kw", "nw"])
-
-    got = pairs.filter(F.col("held") > 0).select("h", "u", "w", (F.col("n") - F.col("held")).alias("rest"), "held")
-    got = got.mapInArrow(attach, "rest long, held long, ku long, nu long, kw long, nw long")
-    for x in "uw":
-        rare = table.filter(F.col("n") < least).select(F.col("h").alias(f"k{x}"), (F.col("n") - F.col("held")).alias(f"r{x}"))
-        got = got.join(rare, f"k{x}", "left").withColumn(f"c{x}", F.coalesce(f"n{x}", f"r{x}", F.lit(0)))
-    bi = F.when(F.col("cu") > 0, F.col("rest") / F.col("cu")).otherwise(F.lit(0.0))
-    uni = F.col("cw") / F.lit(float(max(1, tokens)))
-    step = lambda p: F.when(p > 0, F.floor(F.log(p) * GRID))
-    weight = F.sum("held")
-    cells = got.groupBy((F.length(F.bin(F.col("cu") + 1)) - 1).alias("bucket"), step(bi).alias("x"), step(uni).alias("y"))
-    cells = cells.agg((F.sum(bi * F.col("held")) / weight).alias("bi"), (F.sum(uni * F.col("held")) / weight).alias("uni"), weight.alias("held")).toArrow()
-    bi, uni, held, bucket = (cells.column(x).to_numpy() for x in ("bi", "uni", "held", "bucket"))
-    lam = _em(np.stack([bi, uni, np.full(len(bi), 1 / (kinds + 1))], 1), held, np.minimum(bucket, BUCKETS - 1).astype(np.int64), BUCKETS)
+            for r in range(batch.num_rows):
+                c = _Chunk(batch.slice(r, 1).drop_columns("answers").to_pylist()[0])
+                word, pair, word_held, pair_held = _counts(c, batch.column("answers")[r].values)
+                word, pair = word - word_held, pair - pair_held
+                bi, uni, bucket = pair / np.maximum(word[c.u], 1), word[c.w] / max(1, tokens), _bucket(word[c.u])
+                step = lambda p: np.where(p > 0, np.floor(np.log(np.maximum(p, 1e-300)) * GRID), 1).astype(np.int64)
+                cell, at = np.unique(np.stack([bucket, step(bi), step(uni)], 1), axis=0, return_inverse=True)
+                sums = [np.bincount(at.ravel(), v * c.pair_n, len(cell)) for v in (bi, uni, np.ones(len(bi)))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(cell[:, k].astype(np.int64)) for k in range(3)), *map(pa.array, sums)], names=["bucket", "x", "y", "bi", "uni", "held"])
+
+    return run
+
+
+def _weights(joined: DataFrame, tokens: int, kinds: int) -> np.ndarray:
+    """Weights of the three estimates by bucket, from (chunk, answers) of held-out chunks."""
+    cells = joined.mapInArrow(_cells(tokens), "bucket long, x long, y long, bi double, uni double, held double")
+    got = cells.groupBy("bucket", "x", "y").agg(*(F.sum(c).alias(c) for c in ("bi", "uni", "held"))).toArrow()
+    bucket, bi, uni, held = (got.column(c).to_numpy() for c in ("bucket", "bi", "uni", "held"))
+    order = np.lexsort((uni, bi, bucket))  # as tasks end in any order
+    bucket, bi, uni, held = bucket[order], bi[order], uni[order], held[order]
+    lam = _em(np.stack([bi / held, uni / held, np.full(len(bi), 1 / (kinds + 1))], 1), held, bucket, BUCKETS)
     lam[0, 0] = 0  # a context never seen
     lam[0] /= lam[0].sum()
     return lam
 
 
-def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id", "held_out"), text_col: str = "text", trained: Column | None = None) -> DataFrame:
-    """The columns ``keep`` (of fixed width) with n_tokens, n_known, train_tokens,
-    base_score and score.  ``train``: (text, held), held marking the tenth that
-    the mixture weights are learned on.  ``trained``: true for documents that are
-    surely in ``train``; it saves work and changes no result."""
-    spark = docs.sparkSession
-    table = word_counts(train)
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum("held"), F.lit(0)).alias("held"), F.coalesce(F.sum(F.when(F.col("h") == int(END.view(np.int64)), F.col("n"))), F.lit(0)).alias("ends")).first()
-    n_all, kinds, ends = int(total["n"]), int(total["v"]), int(total["ends"])
+def _score(names: list[str], lam: np.ndarray, n_all: int, kinds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [n for n in names if n.startswith("k")]
+            slim = batch.drop_columns(["answers", *kept])
+            for r in range(batch.num_rows):
+                row = slim.slice(r, 1).to_pylist()[0]
+                c = _Chunk(row)
+                word, pair, _, _ = _counts(c, batch.column("answers")[r].values)
+                size = _unpack(pa.array([row["sizes"]], pa.binary()), np.array([row["size_width"]]))[0].astype(np.int64)
+                doc = np.repeat(np.arange(len(size)), size)
+                part = lam[_bucket(word[c.u])]
+                value = np.log10(part[:, 0] * pair / np.maximum(word[c.u], 1) + part[:, 1] * word[c.w] / max(1, n_all) + part[:, 2] / (kinds + 1))
+                base = np.log10((word + 0.1) / (n_all + 0.1 * (kinds + 1)))
+                known = np.bincount(doc, word[c.at] > 0, len(size)).astype(np.int64)
+                sums = [np.bincount(doc, v, len(size)) for v in (base[c.at], value[c.pair_at][c.pair])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[r].values for k in kept), *map(pa.array, (size, known, *sums))], names=names)
+
+    return run
+
+
+def score(docs: DataFrame, train: DataFrame | tuple[Column, Column], keep: tuple[str, ...] = ("doc_id", "held_out"), text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` with n_tokens, n_known, train_tokens, base_score and score.
+
+    ``train``: the training documents (text, held), held marking those that the
+    mixture weights are learned on; or two conditions on ``docs`` that say the same,
+    which reads them once."""
     kept = [F.col(k).alias(f"k{x}") for x, k in enumerate(keep)]
-    seen = F.coalesce(trained, F.lit(False)) if trained is not None else F.lit(False)
-    rows = docs.select(*kept, F.col(text_col).alias("text"), seen.alias("seen"))
-    pairs = pair_counts(train, rows.filter(~F.col("seen")).select("text"))
-    least = max(2, -(-n_all // HEAD))
-
-    def often(of: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = of.filter(F.col("n") >= least).select("h", "n", "held").toArrow()
-        h, n, held = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy(), got.column("held").to_numpy()
-        order = np.argsort(h)
-        return h[order], n[order], held[order]
-
-    head, head_n, head_held = often(table)
-    lam = _pair_weights(pairs, table, head, head_n - head_held, least, n_all - int(total["held"]), kinds)
+    if isinstance(train, DataFrame):
+        role = F.lit(SCORED)
+        held = F.coalesce(F.col("held").cast("int"), F.lit(0)) != 0
+        none = [F.lit(None).cast(docs.schema[k].dataType).alias(f"k{x}") for x, k in enumerate(keep)]
+        more = train.select(F.when(held, HELD_ONLY).otherwise(LEARNED_ONLY).alias("role"), *none, F.col("text").alias("text"))
+    else:
+        learned, held = train
+        role, more = F.when(F.coalesce(learned, F.lit(False)), F.when(F.coalesce(held, F.lit(False)), HELD).otherwise(LEARNED)).otherwise(SCORED), None
+    rows = docs.select(role.alias("role"), *kept, F.col(text_col).alias("text"))
+    rows = rows if more is None else rows.union(more)
+    types = [docs.schema[k].dataType.simpleString() for k in keep]
+    schema = "chunk long, role int, words binary, ids binary, id_width int, sizes binary, size_width int, n_tokens long, n_words long" + "".join(f", k{x} array<{t}>" for x, t in enumerate(types))
+    table = materialize(rows.mapInArrow(_gather(len(keep)), schema), "op8-chunks")
+    whole = lambda c, hit=None: F.coalesce(F.sum(F.when(hit, F.col(c)) if hit is not None else F.col(c)), F.lit(0))
+    total = table.agg(whole("n_tokens").alias("tokens"), whole("n_words").alias("words"), whole("n_tokens", F.col("role") != SCORED).alias("n"), whole("n_tokens", F.col("role").isin(HELD, HELD_ONLY)).alias("held"), F.count("*").alias("chunks")).first()
+    n_all = int(total["n"])
+    word_parts, pair_parts = (max(1, -(-int(total[c]) // PART)) for c in ("words", "tokens"))
+    asked = table.select("chunk", "role", "words", "ids", "id_width").mapInArrow(_ask(word_parts, pair_parts), "part long, chunk long, role int, keys binary, key_width int, n binary, n_width int")
+    answers = asked.repartition(word_parts + pair_parts, "part").sortWithinPartitions("part").mapInArrow(_answer(word_parts, pair_parts), "chunk long, part long, n binary, n_width int, held binary, held_width int, kinds long")
+    answers = materialize(answers, "op8-answers")
+    kinds = int(answers.filter(F.col("part") < word_parts).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
+
+    def joined(of: DataFrame, few: bool) -> DataFrame:
+        """Chunks with their answers, about 8 chunks a task; ``few``: most are not asked for."""
+        n = max(1, int(total["chunks"]) // 8)
+        by = (answers.join(of.select("chunk"), "chunk", "left_semi") if few else answers).repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "n_width", "held", "held_width")).alias("answers"))
+        return of.join(by, "chunk")
+
+    lam = _weights(joined(table.filter(F.col("role").isin(HELD, HELD_ONLY)).select("chunk", "words", "ids", "id_width"), True), n_all - int(total["held"]), kinds)
     if not n_all:
         lam[:] = (0, 0, 1)
-    rare_pairs = pairs.filter(F.col("n") < least).select("h", F.col("n").alias("c"))
-    shared = spark.sparkContext.broadcast((head, head_n, *often(pairs)[:2], bitmap_of(rare_pairs, "h", BITS), lam))
-    kinds_of = [docs.schema[k].dataType.simpleString() for k in keep]
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(g, h): the distinct words of each document that are not broadcast."""
-        head = shared.value[0]
-        for batch, i, j, h, row in _batches(batches):
-            out = _lookup(head, h) == len(head)
-            h, row = h[out], row[out]
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("g").slice(i, j - i).take(pa.array(row[first])), pa.array(h[first].view(np.int64))], names=["g", "h"])
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document with what is known here, and one for each of its other pairs."""
-        head, head_n, often_h, often_n, bitmap, lam = shared.value
-        for batch, i, j, h, row in _batches(batches):
-            n = j - i
-            c = np.r_[head_n, 0][_lookup(head, h)]
-            listed = batch.column("words").slice(i, n).flatten()
-            if len(listed):
-                known, rare_n = (x.to_numpy() for x in listed.flatten())
-                known, first = np.unique(known.view(np.uint64), return_index=True)
-                c += np.r_[rare_n[first], 0][_lookup(known, h)]
-            before = np.r_[ends, c[:-1]]
-            bucket = np.minimum(np.frexp(before + 1.0)[1] - 1, BUCKETS - 1)
-            _, pair = _pairs(h)
-            at = _lookup(often_h, pair)
-            least = batch.column("seen").to_numpy(zero_copy_only=False)[i:j][row].astype(np.int64)
-            both = np.where(at < len(often_h), np.r_[often_n, 0][at], least)
-            open_ = (at == len(often_h)) & (before > 0) & (c > 0) & (bitmap_has(bitmap, pair, BITS) > 0)
-            part = lam[bucket]
-            value = np.log10(part[:, 0] * both / np.maximum(before, 1) + part[:, 1] * c / max(1, n_all) + part[:, 2] / (kinds + 1))
-            value[open_] = 0
-            base = np.log10((c + 0.1) / (n_all + 0.1 * (kinds + 1)))
-            tokens, known = np.bincount(row, minlength=n), np.bincount(row[c > 0], minlength=n)
-            rest, own_row, where = pair[open_], row[open_], np.flatnonzero(open_)
-            order = np.lexsort((rest, own_row))
-            rest, own_row, where = rest[order], own_row[order], where[order]
-            first = np.flatnonzero(np.r_[True, (rest[1:] != rest[:-1]) | (own_row[1:] != own_row[:-1])]) if len(rest) else np.empty(0, np.int64)
-            m, at = len(first), where[first]
-            rid = batch.column("rid").slice(i, n)
-            null = lambda t: pa.nulls(m, t)
-            both = lambda doc, word: pa.concat_arrays([doc, word])
-            zero = pa.array(np.zeros(n, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    both(rid, rid.take(pa.array(own_row[first]))),
-                    both(rid, pa.array(rest[first].view(np.int64))),
-                    *(both(zero, pa.array(x.astype(np.int64))) for x in (np.diff(np.r_[first, len(rest)]), before[at], c[at], bucket[at] * 2 + least[at])),
-                    *(both(batch.column(f"k{x}").slice(i, n), null(batch.column(f"k{x}").type)) for x in range(len(keep))),
-                    *(both(pa.array(x), null(pa.from_numpy_dtype(x.dtype))) for x in (tokens, known, np.bincount(row, base, n).astype(np.float64), np.bincount(row, value, n).astype(np.float64))),
-                ],
-                names=names,
-            )
-
-    # Words are brought to a document by what it holds, so equal rows share them and nothing depends on the order of rows.
-    rows = rows.select("*", F.xxhash64(*(f"k{x}" for x in range(len(keep))), "text").alias("g"))
-    rare = table.filter(F.col("n") < least).select("h", F.col("n").alias("c"))
-    words = rows.select("g", "text").mapInArrow(rare_words, "g long, h long").join(rare, "h").groupBy("g").agg(F.collect_list(F.struct("h", "c")).alias("words"))
-    rows = rows.join(words, "g", "left").withColumn("rid", F.monotonically_increasing_id())
-    names = ["rid", "h", "n", "cu", "cw", "b", *(f"k{x}" for x in range(len(keep))), "tokens", "known", "base", "value"]
-    posted = rows.mapInArrow(post, ", ".join(f"{a} {b}" for a, b in zip(names, ["long"] * 6 + [*kinds_of, "long", "long", "double", "double"], strict=True)))
-    weight = lambda x: F.get(F.array(*(F.lit(float(v)) for v in lam[:, x])), F.shiftright("b", 1).cast("int"))
-    count = F.coalesce("c", F.col("b") % 2)
-    log_p = F.log10(weight(0) * count / F.greatest("cu", F.lit(1)) + weight(1) * F.col("cw") / F.lit(float(max(1, n_all))) + weight(2) / F.lit(float(kinds + 1)))
-    joined = posted.join(rare_pairs, "h", "left").groupBy("rid").agg(
-        *(F.max(f"k{x}").alias(k) for x, k in enumerate(keep)),
-        F.sum("tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum(F.coalesce("value", F.lit(0.0)) + F.when(F.col("n") > 0, F.col("n") * log_p).otherwise(0.0)).alias("score"),
-    )
-    return joined.select(*keep, "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    names = [*(f"k{x}" for x in range(len(keep))), "n_tokens", "n_known", "base_score", "score"]
+    own = table.filter(F.col("role") <= HELD).drop("role", "n_tokens", "n_words")
+    out = joined(own, False).mapInArrow(_score(names, lam, n_all, kinds), ", ".join(f"{a} {b}" for a, b in zip(names, [*types, "long", "long", "double", "double"], strict=True)))
+    return out.select(*(F.col(f"k{x}").alias(k) for x, k in enumerate(keep)), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 10) == 0)
-    train = docs.filter(~F.col("held_out")).select("text", (crc_mod("doc_id", 10) == 1).cast("int").alias("held"))
-    return score(docs, train, trained=~F.col("held_out"))
+    part = crc_mod("doc_id", 10)
+    return score(load(spark, sf_dir, "documents").withColumn("held_out", part == 0), (part != 0, part == 1))
 
 
 QUERIES = {"op8_lm_score": op8_lm_score}
