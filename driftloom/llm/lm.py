@@ -65,35 +65,63 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- packing -----------------------------------------------------------------
 
 
-def _pack(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """Non-negative numbers in as many bytes each as the largest needs."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel(), width
+def _pack(values: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Non-negative numbers as (bytes, a row each; width; which are escaped): in the width that
+    costs least, as numbers that reach its largest are escaped to eight bytes."""
+    values = values.astype("<u8")
+    costs = [w * len(values) + 8 * np.count_nonzero(values >= np.uint64((1 << 8 * w) - 1)) for w in range(1, 8)]
+    width = 1 + int(np.argmin([*costs, 8 * len(values)]))
+    over = values >= np.uint64((1 << 8 * width) - 1) if width < 8 else np.zeros(len(values), bool)
+    small = np.minimum(values, np.uint64((1 << 8 * width) - 1))
+    return small.view(np.uint8).reshape(-1, 8)[:, :width], width, over
 
 
-def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Rows of bytes cut at ``ends`` (with a 0 first)."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+def _packed(name: str, values: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
+    """The columns name, name_width and name_more of rows of numbers cut at ``ends`` (with a 0 first)."""
+    data, width, over = _pack(values)
+    more = np.r_[0, np.cumsum(over)][ends]
 
+    def blobs(raw: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
 
-def _unpack(blobs: pa.Array, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of rows packed in ``width`` bytes each, and the numbers a row."""
-    raw, offs = text_buffer(blobs)
+    return {name: blobs(data, ends * width), f"{name}_width": pa.array(np.full(len(ends) - 1, width, np.int32)), f"{name}_more": blobs(values[over].astype("<u8"), more * 8)}
+
+
+def _unpack(rows: object, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the rows of a batch or struct array, and the numbers a row."""
+    col = rows.field if isinstance(rows, pa.StructArray) else lambda c: rows.column(c)
+    width = col(f"{name}_width").to_numpy()
+    raw, offs = text_buffer(col(name))
     size = np.diff(offs) // width
     out = np.zeros(int(size.sum()), np.uint64)
+    over = np.zeros(len(out), bool)
     begin = np.r_[0, np.cumsum(size)[:-1]]
     for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
-        n = size[rows]
+        own = np.flatnonzero(width == w)
+        n = size[own]
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at, to = np.repeat(offs[rows], n) + within * w, np.repeat(begin[rows], n) + within
+        at, to = np.repeat(offs[own], n) + within * w, np.repeat(begin[own], n) + within
         got = np.zeros(len(at), np.uint64)
         for b in range(w):
             got |= raw[at + b].astype(np.uint64) << np.uint64(8 * b)
         out[to] = got
+        over[to] = (got == np.uint64((1 << 8 * w) - 1)) & (w < 8)
+    more, _ = text_buffer(col(f"{name}_more"))
+    out[over] = np.ascontiguousarray(more).view("<u8")
     return out, size
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers below 2**32 of one row, byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _expand(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
@@ -108,18 +136,17 @@ def _least_key(part: np.ndarray, parts: int) -> np.ndarray:
 
 def _gather(kept_columns: int):
     """Rows (role, k0.., text) to chunks of one role each."""
-    names = ["chunk", "role", "words", "ids", "id_width", "sizes", "size_width", "n_tokens", "n_words", *(f"k{x}" for x in range(kept_columns))]
+    names = ["chunk", "role", "words", "ids", "sizes", "n_tokens", "n_docs", "n_words", *(f"k{x}" for x in range(kept_columns))]
 
     def out(role: int, hs: list, sizes: list, kept: list) -> pa.RecordBatch:
         words, ids, n = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
         order = np.argsort(-n, kind="stable")  # the commonest words get the smallest places
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        ids, id_width = _pack(place[ids])
-        size, size_width = _pack(np.concatenate(sizes))
-        cols = [int.from_bytes(os.urandom(8), "big") >> 1, role, words[order].tobytes(), ids.tobytes(), id_width, size.tobytes(), size_width, int(n.sum()), len(words)]
+        size = np.concatenate(sizes)
+        cols = [int.from_bytes(os.urandom(8), "big") >> 1, role, words[order].tobytes(), _squeeze(place[ids]), _squeeze(size), int(n.sum()), len(size), len(words)]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays([k[x] for k in kept]) for x in range(kept_columns))]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([*(pa.array([c], t) for c, t in zip(cols, types, strict=True)), *lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +179,7 @@ class _Chunk:
         order = np.argsort(words)
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        ids, _ = _unpack(pa.array([row["ids"]], pa.binary()), np.array([row["id_width"]]))
-        self.words, self.at = words[order], place[ids.astype(np.int64)]
+        self.words, self.at = words[order], place[_expand(row["ids"], row["n_tokens"])]
         self.word_n = np.bincount(self.at, minlength=len(words))
         # A document's last token is an end, the next one's context.
         before = np.r_[np.searchsorted(self.words, END), self.at[:-1]]
@@ -167,8 +193,8 @@ class _Chunk:
 
 
 def _ask(word_parts: int, pair_parts: int):
-    """What chunks ask for and tell: (part, chunk, role, keys, key_width, n, n_width);
-    parts of words come first."""
+    """What chunks ask for and tell: (part, chunk, role, keys, n), both packed; parts of
+    words come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,43 +206,34 @@ def _ask(word_parts: int, pair_parts: int):
                     begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                     step = np.diff(keys, prepend=np.uint64(0))
                     step[begin] = keys[begin] - _least_key(part[begin], parts)
-                    ends = np.r_[begin, len(keys)]
-                    (data, key_width), (told, n_width) = _pack(step), _pack(n)
-                    same = lambda v, t: pa.array(np.full(len(begin), v), t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part[begin].astype(np.int64) + first), same(row["chunk"], pa.int64()), same(row["role"], pa.int32()), _blobs(data, ends * key_width), same(key_width, pa.int32()), _blobs(told, ends * n_width), same(n_width, pa.int32())],
-                        names=["part", "chunk", "role", "keys", "key_width", "n", "n_width"],
-                    )
+                    ends, rows = np.r_[begin, len(keys)], len(begin)
+                    cols = {"part": pa.array(part[begin].astype(np.int64) + first), "chunk": pa.array(np.full(rows, row["chunk"])), "role": pa.array(np.full(rows, row["role"], np.int32))}
+                    yield pa.RecordBatch.from_pydict(cols | _packed("keys", step, ends) | _packed("n", n, ends))
 
     return run
 
 
 def _answer(word_parts: int, pair_parts: int):
-    """Rows sorted by part to (chunk, part, n, n_width, held, held_width, kinds): the
-    counts in all training documents and in held-out ones; kinds is, once a part, the
-    number of its keys that training has."""
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        col = lambda c: t.column(c).combine_chunks() if t.num_rows else t.column(c)
-        one = lambda c: col(c).to_numpy()
-        part = int(one("part")[0])
+    """Rows sorted by part to (chunk, part, n, held, kinds): packed counts in all
+    training documents and in held-out ones; kinds is, once a part, the number of its
+    keys that training has."""
+
+    def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        part = int(rows.column("part")[0].as_py())
         words = part < word_parts
-        step, size = _unpack(col("keys"), one("key_width"))
-        told, _ = _unpack(col("n"), one("n_width"))
+        step, size = _unpack(rows, "keys")
+        told, _ = _unpack(rows, "n")
         total = np.cumsum(step, dtype=np.uint64)
         before = np.r_[np.uint64(0), total][np.cumsum(size) - size]
         least = _least_key(np.array([part if words else part - word_parts]), word_parts if words else pair_parts)[0]
         _, at = np.unique(total - np.repeat(before, size) + least, return_inverse=True)
-        role = np.repeat(one("role"), size)
+        role = np.repeat(rows.column("role").to_numpy(), size)
         n = np.bincount(at, told * (role != SCORED)).astype(np.int64)
         held = np.bincount(at, told * ((role == HELD) | (role == HELD_ONLY)), len(n)).astype(np.int64)
-        (n_data, n_width), (held_data, held_width) = _pack(n[at]), _pack(held[at])
-        ends, rows = np.r_[0, np.cumsum(size)], t.num_rows
-        same = lambda v: pa.array(np.full(rows, v, np.int32))
-        kinds = np.zeros(rows, np.int64)
+        kinds = np.zeros(rows.num_rows, np.int64)
         kinds[0] = np.count_nonzero(n)
-        return pa.RecordBatch.from_arrays([col("chunk"), col("part"), _blobs(n_data, ends * n_width), same(n_width), _blobs(held_data, ends * held_width), same(held_width), pa.array(kinds)], names=["chunk", "part", "n", "n_width", "held", "held_width", "kinds"])
+        ends = np.r_[0, np.cumsum(size)]
+        return pa.RecordBatch.from_pydict({"chunk": rows.column("chunk"), "part": rows.column("part")} | _packed("n", n[at], ends) | _packed("held", held[at], ends) | {"kinds": pa.array(kinds)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[pa.RecordBatch] = []
@@ -225,11 +242,11 @@ def _answer(word_parts: int, pair_parts: int):
             cut = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)] if len(part) else np.zeros(1, int)
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if open_ and open_[0].column("part")[0].as_py() != part[i]:
-                    yield solve(pa.Table.from_batches(open_))
+                    yield solve(pa.concat_batches(open_))
                     open_ = []
                 open_.append(batch.slice(i, j - i))
         if open_:
-            yield solve(pa.Table.from_batches(open_))
+            yield solve(pa.concat_batches(open_))
 
     return run
 
@@ -237,7 +254,7 @@ def _answer(word_parts: int, pair_parts: int):
 def _counts(chunk: _Chunk, answers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Counts of the chunk's words and pairs, then those in held-out documents."""
     rows = answers.take(pa.array(np.argsort(answers.field("part").to_numpy(), kind="stable")))
-    n, held = (_unpack(rows.field(c), rows.field(f"{c}_width").to_numpy())[0].astype(np.int64) for c in ("n", "held"))
+    n, held = (_unpack(rows, c)[0].astype(np.int64) for c in ("n", "held"))
     k = len(chunk.words)
     return n[:k], n[k:], held[:k], held[k:]
 
@@ -316,7 +333,7 @@ def _score(names: list[str], lam: np.ndarray, n_all: int, kinds: int):
                 row = slim.slice(r, 1).to_pylist()[0]
                 c = _Chunk(row)
                 word, pair, _, _ = _counts(c, batch.column("answers")[r].values)
-                size = _unpack(pa.array([row["sizes"]], pa.binary()), np.array([row["size_width"]]))[0].astype(np.int64)
+                size = _expand(row["sizes"], row["n_docs"])
                 doc = np.repeat(np.arange(len(size)), size)
                 part = lam[_bucket(word[c.u])]
                 value = np.log10(part[:, 0] * pair / np.maximum(word[c.u], 1) + part[:, 1] * word[c.w] / max(1, n_all) + part[:, 2] / (kinds + 1))
@@ -346,30 +363,31 @@ def score(docs: DataFrame, train: DataFrame | tuple[Column, Column], keep: tuple
     rows = docs.select(role.alias("role"), *kept, F.col(text_col).alias("text"))
     rows = rows if more is None else rows.union(more)
     types = [docs.schema[k].dataType.simpleString() for k in keep]
-    schema = "chunk long, role int, words binary, ids binary, id_width int, sizes binary, size_width int, n_tokens long, n_words long" + "".join(f", k{x} array<{t}>" for x, t in enumerate(types))
+    schema = "chunk long, role int, words binary, ids binary, sizes binary, n_tokens long, n_docs long, n_words long" + "".join(f", k{x} array<{t}>" for x, t in enumerate(types))
     table = materialize(rows.mapInArrow(_gather(len(keep)), schema), "op8-chunks")
     whole = lambda c, hit=None: F.coalesce(F.sum(F.when(hit, F.col(c)) if hit is not None else F.col(c)), F.lit(0))
     total = table.agg(whole("n_tokens").alias("tokens"), whole("n_words").alias("words"), whole("n_tokens", F.col("role") != SCORED).alias("n"), whole("n_tokens", F.col("role").isin(HELD, HELD_ONLY)).alias("held"), F.count("*").alias("chunks")).first()
     n_all = int(total["n"])
     word_parts, pair_parts = (max(1, -(-int(total[c]) // PART)) for c in ("words", "tokens"))
-    asked = table.select("chunk", "role", "words", "ids", "id_width").mapInArrow(_ask(word_parts, pair_parts), "part long, chunk long, role int, keys binary, key_width int, n binary, n_width int")
-    answers = asked.repartition(word_parts + pair_parts, "part").sortWithinPartitions("part").mapInArrow(_answer(word_parts, pair_parts), "chunk long, part long, n binary, n_width int, held binary, held_width int, kinds long")
+    packed = lambda *names: ", ".join(f"{n} binary, {n}_width int, {n}_more binary" for n in names)
+    asked = table.select("chunk", "role", "words", "ids", "n_tokens").mapInArrow(_ask(word_parts, pair_parts), "part long, chunk long, role int, " + packed("keys", "n"))
+    answers = asked.repartition(word_parts + pair_parts, "part").sortWithinPartitions("part").mapInArrow(_answer(word_parts, pair_parts), f"chunk long, part long, {packed('n', 'held')}, kinds long")
     answers = materialize(answers, "op8-answers")
     kinds = int(answers.filter(F.col("part") < word_parts).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
 
     def joined(of: DataFrame, few: bool) -> DataFrame:
         """Chunks with their answers, about 8 chunks a task; ``few``: most are not asked for."""
         n = max(1, int(total["chunks"]) // 8)
-        by = (answers.join(of.select("chunk"), "chunk", "left_semi") if few else answers).repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "n_width", "held", "held_width")).alias("answers"))
-        return of.join(by, "chunk")
+        by = (answers.join(of.select("chunk"), "chunk", "left_semi") if few else answers).repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", *(f"{c}{x}" for c in ("n", "held") for x in ("", "_width", "_more")))).alias("answers"))
+        return of.repartition(n, "chunk").join(by, "chunk")
 
-    lam = _weights(joined(table.filter(F.col("role").isin(HELD, HELD_ONLY)).select("chunk", "words", "ids", "id_width"), True), n_all - int(total["held"]), kinds)
+    lam = _weights(joined(table.filter(F.col("role").isin(HELD, HELD_ONLY)).select("chunk", "words", "ids", "n_tokens"), True), n_all - int(total["held"]), kinds)
     if not n_all:
         lam[:] = (0, 0, 1)
-    names = [*(f"k{x}" for x in range(len(keep))), "n_tokens", "n_known", "base_score", "score"]
-    own = table.filter(F.col("role") <= HELD).drop("role", "n_tokens", "n_words")
+    names = [*(f"k{x}" for x in range(len(keep))), "n_tok", "n_seen", "base_score", "score"]
+    own = table.filter(F.col("role") <= HELD).drop("role", "n_words")
     out = joined(own, False).mapInArrow(_score(names, lam, n_all, kinds), ", ".join(f"{a} {b}" for a, b in zip(names, [*types, "long", "long", "double", "double"], strict=True)))
-    return out.select(*(F.col(f"k{x}").alias(k) for x, k in enumerate(keep)), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(*(F.col(f"k{x}").alias(k) for x, k in enumerate(keep)), F.col("n_tok").alias("n_tokens"), F.col("n_seen").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
