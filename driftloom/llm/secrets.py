@@ -44,17 +44,19 @@ RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # To its END line, or over the base64 lines that follow if there is none.
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\x20\x09-\x0D]+[A-Za-z0-9+/=]{16,}){0,200})"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url", r"[a-z][a-z0-9+.-]{0,20}://[^\x20\x09-\x0D/:@]{1,200}:[^\x20\x09-\x0D/@]{1,200}@"),
+    Rule("url", r"[a-z][a-z0-9+.-]{0,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@"),
 )
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 WORD = 62  # postings kept in one long of bits
+BLOCK, PIECE = 128, 8192  # items folded at once; characters cut from at once
 KEY, SPANS = "__op1_key", "__op1_spans"
 
 
@@ -101,22 +103,42 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, rules=RULES) -> Data
     return merged.select(KEY, mask.alias("__op1_rules")).filter(F.col("__op1_rules") != 0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once, even if lambdas use it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(items: Column, op) -> Column:
+    """For each item the fold of all before it, from 0.  Blocks of ``BLOCK`` items bound
+    what is copied, so time is linear."""
+    block = lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
+    begin = lambda at: F.struct(at.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    note = lambda acc, to: F.struct(to.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    total = lambda b: F.aggregate(block(b), F.lit(0).cast("long"), op)
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(items) / BLOCK).cast("int") - 1)
+    starts = F.aggregate(blocks, begin(F.lit(0)), lambda acc, b: note(acc, op(acc["at"], total(b))), lambda acc: acc["out"])
+    within = lambda at, b: F.aggregate(block(b), begin(at), lambda acc, x: note(acc, op(acc["at"], x)), lambda acc: acc["out"])
+    return F.when(F.size(items) == 0, F.array().cast("array<long>")).otherwise(F.flatten(F.transform(starts, within)))
+
+
 def _spans(text: Column, number: int, rule: Rule) -> Column:
-    """A rule's spans in one text: lengths of the matches and of what lies between."""
+    """A rule's spans in one text: lengths of the matches and of what lies between,
+    added up."""
+    none = F.array().cast(SPAN)
+
+    def placed(found: Column, gaps: Column) -> Column:
+        gap = F.transform(gaps, F.char_length)
+        sizes = F.transform(found, lambda m, i: (F.char_length(F.get(gaps, i)) + F.char_length(m)).cast("long"))
+
+        def put(at: Column, gap: Column) -> Column:
+            start = lambda i: (F.get(at, i) + F.get(gap, i)).cast("int")
+            spans = F.transform(found, lambda m, i: F.when(F.length(F.regexp_extract(m, rule.pattern, 1)) >= rule.least if rule.least else F.lit(True), F.struct(start(i).alias("start"), F.lit(number).alias("kind"), (start(i) + F.char_length(m)).alias("stop"))))
+            return F.filter(spans, lambda s: s.isNotNull()) if rule.least else spans
+
+        return _let(_let(sizes, lambda s: _before(s, lambda a, b: a + b)), lambda at: _let(gap, lambda g: put(at, g)))
+
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    apart = F.split(text, rule.pattern, -1)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.char_length(F.get(apart, i)) + F.char_length(F.get(found, i))).alias("at"),
-        F.concat(
-            acc["spans"],
-            F.array(F.struct((acc["at"] + F.char_length(F.get(apart, i))).alias("start"), F.lit(number).alias("kind"), (acc["at"] + F.char_length(F.get(apart, i)) + F.char_length(F.get(found, i))).alias("stop"))),
-        ).alias("spans"),
-    )
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    spans = F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda acc: acc["spans"]))
-    if rule.least:
-        spans = F.filter(spans, lambda s: F.length(F.regexp_extract(F.substring(text, s["start"] + 1, s["stop"] - s["start"]), rule.pattern, 1)) >= rule.least)
-    return F.coalesce(spans, F.array().cast(SPAN))
+    return _let(found, lambda f: F.when(F.size(f) > 0, _let(F.split(text, rule.pattern, -1), lambda gaps: placed(f, gaps))).otherwise(none))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
@@ -148,13 +170,21 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """``docs`` with every secret span of its text replaced by ``mark``;
     overlapping spans count as one.  A text without secrets stays as it is."""
     found = find_secrets(docs, id_col, text_col)
-    text = F.col(text_col)
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["stop"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-    )
-    clean = F.aggregate(SPANS, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"])))
-    return found.select(*(F.when(F.size(SPANS) > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    text, spans = F.col(text_col), F.col(SPANS)
+
+    def clean(pieces: Column, reach: Column, end: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            """Characters a to b, from the pieces that hold them."""
+            own = lambda p: F.substring(F.get(pieces, p), (F.greatest(a - p * PIECE, F.lit(0)) + 1).cast("int"), (F.least(b - p * PIECE, F.lit(PIECE)) - F.greatest(a - p * PIECE, F.lit(0))).cast("int"))
+            return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")), own), "")).otherwise("")
+
+        kept = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(cut(F.get(reach, i), s["start"].cast("long")), F.lit(mark))).otherwise(""))
+        return F.array_join(F.concat(kept, F.array(cut(end, F.char_length(text).cast("long")))), "")
+
+    stops = F.transform(spans, lambda s: s["stop"].cast("long"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = _let(pieces, lambda p: _let(_let(stops, lambda s: _before(s, lambda a, b: F.greatest(a, b))), lambda r: clean(p, r, F.array_max(stops))))
+    return found.select(*(F.when(F.size(SPANS) > 0, done).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def _sql() -> str:
