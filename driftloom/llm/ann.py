@@ -13,7 +13,8 @@ stops.
 2. Each block has its own kd-tree.  A query takes its leaves in the order of their
    projected distance and verifies what the stop allows on the original vectors.
 3. Round one searches a query's own cell and finds a first d_k.  Round two sends it
-   only to blocks whose bounding box the stop doesn't rule out at that d_k.
+   down the tree, ``FAN`` bits at a time by joins on the node, to the blocks whose
+   bounding boxes the stop doesn't rule out at that d_k.
    Queries meet blocks in chunks of ``CHUNK`` queries.
 4. The best k of both rounds are ranked.
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize
 
-M, CONFIDENCE, SAMPLE, CELL, LEAF, CHUNK, SEED = 8, 0.99, 20_000, 4096, 128, 1024, 11
+M, CONFIDENCE, SAMPLE, CELL, LEAF, CHUNK, SEED, FAN = 8, 0.99, 20_000, 4096, 128, 1024, 11, 6
 
 
 def chi2_quantile(p: float, m: int) -> float:
@@ -217,10 +218,23 @@ def nearest(table: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
     flat = [float(x) for x in sight.T.ravel()]
     # A query's projection, by expression, as the boxes' distances decide where it goes.
     point = F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda j: F.aggregate(F.zip_with("vector", F.slice(F.array(*map(F.lit, flat)), j * dim + 1, F.lit(dim)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x))
-    open_ = materialize(open_.withColumn("point", point), "op3-open")
+    open_ = materialize(open_.withColumns({"point": point, "ask": F.xxhash64("query", "vector")}), "op3-open")
     gap = F.zip_with(F.zip_with("point", "low", lambda p, a: F.greatest(a - p, F.lit(0.0))), F.zip_with("point", "high", lambda p, b: F.greatest(p - b, F.lit(0.0))), lambda a, b: (a + b) * (a + b))
     reach = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) <= F.lit(LIMIT) * F.col("bound") * F.col("bound") * F.lit(1 + 1e-9)
-    sent = open_.join(boxes, (F.col("own") != F.col("cell")) & reach).select("cell", "part", "query", "vector", "bound")
+
+    def boxes_of(level: int) -> DataFrame:
+        """The boxes around the nodes that many levels of ``FAN`` bits above the cells."""
+        corner = lambda fold, c: F.array(*(fold(F.get(c, F.lit(i))) for i in range(M)))
+        return boxes.groupBy(F.shiftright("cell", FAN * level).alias("node")).agg(corner(F.min, "low").alias("low"), corner(F.max, "high").alias("high"))
+
+    # Down the tree, as joins on the node: a query goes on to the children whose boxes the stop doesn't rule out.
+    top = max(0, -(-(cells.bit_length() - 1) // FAN) - 1)
+    at_node = open_.select("ask", "own", "point", "bound", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((cells - 1) >> FAN * top).cast("long"))).alias("node"))
+    for level in range(top, 0, -1):
+        at_node = at_node.join(boxes_of(level), "node").filter(reach).select("ask", "own", "point", "bound", "node")
+        at_node = at_node.select("ask", "own", "point", "bound", F.explode(F.sequence(F.shiftleft("node", FAN), F.shiftleft("node", FAN) + ((1 << FAN) - 1))).alias("node"))
+    met = at_node.filter(F.col("own") != F.col("node")).join(boxes.withColumnRenamed("cell", "node"), "node").filter(reach).select("ask", F.col("node").alias("cell"), "part")
+    sent = met.join(open_.select("ask", "query", "vector", "bound"), "ask").select("cell", "part", "query", "vector", "bound")
     best = first.union(search(sent)).withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k)
     return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
