@@ -13,8 +13,9 @@ The trained model is one number a bucket (vector times layer), of fixed size,
 broadcast; scoring adds up a chunk's gathered numbers by document.
 
 Defined results: a null or empty text has no features and gets the score of the
-bias alone; without a label of either kind every score is 0.5; repeated rows and
-repeated ids are scored alike; an empty table gives no rows; documents without a
+bias alone; without a label of either kind every score is 0.5; repeated rows are
+scored alike; a repeated id is learned from once, by its smallest label and its
+text of the smallest hash, and scored row by row; an empty table gives no rows; documents without a
 label, or with a null one, are not learned from but scored.
 """
 
@@ -112,8 +113,9 @@ def fit(labels: np.ndarray, ids: list[np.ndarray], shares: list[np.ndarray]) ->
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Learn from at most ``sample`` of the labelled documents given."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__op6_id"), F.col(label_col).cast("int").alias("label"))
-    few = known.orderBy(F.xxhash64("__op6_id"), "__op6_id", "label").limit(sample)
+    few = known.groupBy("__op6_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("__op6_id"), "__op6_id").limit(sample)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(few), F.col(id_col) == F.col("__op6_id"))
+    rows = rows.groupBy("__op6_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("label", "text", "__op6_id").mapInArrow(_extract, "label int, ids array<int>, share array<float>").toArrow()
     ids, shares, y = (got.column(c).combine_chunks() for c in ("ids", "share", "label"))
     cut = lambda a: np.split(a.flatten().to_numpy(), a.offsets.to_numpy()[1:-1] - a.offsets.to_numpy()[0]) if len(a) else []
