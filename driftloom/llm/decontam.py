@@ -8,10 +8,10 @@ item).
    size (``BITS``) over them lets the scan of the documents post only seeds that
    some item may hold.
 2. Posted seeds are joined with the items' seeds (the planner broadcasts those
-   only if they are small) and gathered by (document, item): the common seeds are
-   the Karp-Rabin hits of the tiling's minimum match length.
-3. Greedy string tiling: hits on one diagonal in a row are a match; the longest
-   match whose tokens are free on both sides becomes a tile, and what a tile cuts
+   only if they are small): the common seeds are the Karp-Rabin hits of the tiling's
+   minimum match length.  Hits on one diagonal in a row are a match, and matches are
+   gathered by (document, item).
+3. Greedy string tiling: the longest match whose tokens are free on both sides becomes a tile, and what a tile cuts
    off goes back into the queue, until no match of the least length is left.
    Tiles may lie in any order, so reordered passages count.
 4. A document is contaminated by an item of whose tokens the tiles cover at
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_has, bitmap_of, chunks, gram_hashes, load, materialize, prefix_sums, row_starts, span_hash, text_buffer, words
@@ -66,11 +66,15 @@ def tile(dpos: np.ndarray, ipos: np.ndarray, n: int, tokens: int) -> int:
     order = np.lexsort((dpos, dpos - ipos))
     d, i = dpos[order], ipos[order]
     fresh = np.flatnonzero(np.r_[True, (d[1:] - d[:-1] != 1) | (i[1:] - i[:-1] != 1)])
-    length = np.diff(np.r_[fresh, len(d)]) + n - 1
-    queue = [(-int(k), int(a), int(b)) for k, a, b in zip(length, d[fresh], i[fresh], strict=True)]
+    return tile_matches(d[fresh], i[fresh], np.diff(np.r_[fresh, len(d)]) + n - 1, n, tokens)
+
+
+def tile_matches(dpos: np.ndarray, ipos: np.ndarray, length: np.ndarray, n: int, tokens: int) -> int:
+    """The same from maximal matches: runs of hits on one diagonal."""
+    queue = [(-int(k), int(a), int(b)) for k, a, b in zip(length, dpos, ipos, strict=True)]
     heapq.heapify(queue)
-    low = int(d.min())
-    doc, item = np.zeros(int(d.max()) - low + n, bool), np.zeros(tokens, bool)
+    low = int(dpos.min())
+    doc, item = np.zeros(int((dpos + length).max()) - low, bool), np.zeros(tokens, bool)
     while queue:
         k, a, b = heapq.heappop(queue)
         k = -k
@@ -88,8 +92,10 @@ def tile(dpos: np.ndarray, ipos: np.ndarray, n: int, tokens: int) -> int:
 
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.to_pydict()
-        got = [tile(np.array([x["dpos"] for x in h]), np.array([x["ipos"] for x in h]), n, t) / t for h, n, t in zip(rows["hits"], rows["n"], rows["tokens"], strict=True)]
+        got = []
+        for r, (n, t) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
+            runs = batch.column("runs")[r].values
+            got.append(tile_matches(*(runs.field(c).to_numpy().astype(np.int64) for c in ("dpos", "ipos", "length")), n, t) / t)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "body", "item")), pa.array(got, pa.float64())], names=["id", "body", "item", "coverage"])
 
 
@@ -129,9 +135,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     posted = materialize(rows.mapInArrow(post, f"id {id_kind}, body long, pos array<int>, seed array<long>"), "op9-posted")
     hits = posted.filter(F.size("seed") > 0).distinct().select("id", "body", F.explode(F.arrays_zip("pos", "seed")).alias("x")).select("id", "body", F.col("x.pos").alias("dpos"), F.col("x.seed").alias("seed"))
     by = ["id", "body", "item", "item_body", "n", "tokens"]
-    pairs = hits.join(seeds.withColumnRenamed("body", "item_body"), "seed").groupBy(*by).agg(F.collect_list(F.struct("dpos", "ipos")).alias("hits"))
-    # Tiles cover no more tokens than the hits span: what can't reach the threshold needs no tiling.
-    pairs = pairs.filter(F.size(F.array_distinct(F.col("hits.ipos"))) * F.col("n") >= F.col("tokens") * F.lit(coverage))
+    # Hits on one diagonal in a row are one match: what is gathered are matches, not hits.
+    joined = hits.join(seeds.withColumnRenamed("body", "item_body"), "seed").withColumn("diagonal", F.col("dpos") - F.col("ipos"))
+    place = F.row_number().over(Window.partitionBy(*by, "diagonal").orderBy("dpos"))
+    runs = joined.withColumn("run", F.col("dpos") - place).groupBy(*by, "diagonal", "run").agg(F.min("dpos").alias("dpos"), F.min("ipos").alias("ipos"), (F.count("*").cast("int") + F.col("n") - 1).alias("length"))
+    pairs = runs.groupBy(*by).agg(F.collect_list(F.struct("dpos", "ipos", "length")).alias("runs"), F.sum("length").alias("most"))
+    # Tiles cover no more tokens than the matches have: what can't reach the threshold needs no tiling.
+    pairs = pairs.filter(F.col("most") >= F.col("tokens") * F.lit(coverage))
     out = pairs.mapInArrow(_tile, f"id {id_kind}, body long, item {kind}, coverage double").filter(F.col("coverage") >= coverage)
     return posted.select("id", "body"), out
 
