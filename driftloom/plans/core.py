@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import pii, stats, types
 from driftloom.operators import drift, inference, profile, sampling
+from driftloom.plans import detection_sql
 from driftloom.plans.fixtures import CELLS, SEMANTIC, event_cells, events
 from driftloom.plans.registry import Book
 
@@ -224,9 +225,10 @@ def calibration_bins(spark, sf_dir):
     CELLS
     + f""", k AS (SELECT path, kind, count(*) AS c FROM cells WHERE kind <> 'null' GROUP BY ALL), a AS (SELECT path, max(c) AS k, sum(c) AS n, count(*) AS kinds, min(kind) AS one FROM k GROUP BY path),
 s AS (SELECT path, count(*) / (SELECT count(*) FROM ev) AS presence FROM cells GROUP BY path),
+first AS (SELECT path, text FROM (SELECT path, kind, text, row_number() OVER (PARTITION BY path ORDER BY seq) AS nth FROM cells WHERE kind <> 'null') WHERE nth <= 20 AND kind = 'string'), {detection_sql.personal("f", "cells", "first")},
 t AS (SELECT path, presence, CASE WHEN n IS NULL THEN 'null' WHEN kinds > 1 THEN 'mixed' ELSE one END AS field_type, CASE WHEN n IS NULL THEN 0.3 ELSE round({_W('k', 'n', '-')}, 4) END AS c FROM s LEFT JOIN a USING (path))
 SELECT path, field_type, round(presence, 6) AS presence, presence >= 0.8 AS required, CASE WHEN field_type IN ('string', 'integer') THEN least(c, 0.7) WHEN field_type = 'mixed' THEN least(c, 0.5) ELSE c END AS confidence,
-CASE path WHEN 'user.email' THEN 'email' WHEN 'card' THEN 'card_number,national_id' ELSE '' END AS pii FROM t"""
+coalesce((SELECT string_agg(category, ',' ORDER BY category) FROM f_pii p WHERE p.path = t.path), '') AS pii FROM t"""
 )
 def statistical_inference(spark, sf_dir):
     f = inference.statistical(event_cells(spark, sf_dir, ("seq",)), events(spark, sf_dir))
@@ -260,9 +262,7 @@ def pii_scan(spark, sf_dir):
     return d.agg(*(F.count_if(pii.value_hit(F.lit("text"), F.col("text"), k)).alias(k) for k in _PII_SQL), F.count("*").alias("documents"))
 
 
-@_b.query(
-    """SELECT * FROM (VALUES ('user.email', 'email', 0.95::DOUBLE, 'both'), ('card', 'card_number', 0.95::DOUBLE, 'both'), ('card', 'national_id', 0.7::DOUBLE, 'pattern')) t(path, category, confidence, source)"""
-)
+@_b.query(CELLS + ", first AS (SELECT path, text FROM cells WHERE kind = 'string' QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq) <= 20), " + detection_sql.personal("f", "first", "first") + " SELECT path, category, confidence, source FROM f_pii")
 def pii_fields(spark, sf_dir):
     c = event_cells(spark, sf_dir, ("seq",)).filter(F.col("kind") == "string")
     few = profile.first_n(c, ["path"], pii.FIRST, ["seq"]).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("strings"))
@@ -305,23 +305,22 @@ def _findings(spark, sf_dir, **how):
     return drift.detect(base, c.filter(new), e.filter(new), **how)
 
 
-@_b.query(
-    """SELECT * FROM (VALUES ('amount', 'presence_drop', 2, 'drift'), ('legacy', 'field_removed', 3, 'drift'), ('ts', 'type_changed', 3, 'drift'), ('currency', 'enum_changed', 2, 'evolution'), ('card', 'new_pii', 3, 'drift')) t(path, drift_type, tier, class)"""
-)
+@_b.query(CELLS + detection_sql.DRIFT + " SELECT path, drift_type, round(before, 6) AS before, round(after, 6) AS after, tier, class FROM d_found")
 def drift_report(spark, sf_dir):
-    """The planted drifts, and no others."""
-    return _findings(spark, sf_dir).select("path", "drift_type", "tier", "class")
+    """Every drift between the two halves."""
+    return _findings(spark, sf_dir).select("path", "drift_type", r6("before").alias("before"), r6("after").alias("after"), "tier", "class")
 
 
-@_b.query("SELECT 5::BIGINT AS findings, 3 AS highest_tier, 4::BIGINT AS drifts, 1::BIGINT AS evolutions, 'block' AS action")
+@_b.query(CELLS + detection_sql.DRIFT + " SELECT count(*) AS findings, max(tier) AS highest_tier, count(*) FILTER (class = 'drift') AS drifts, count(*) FILTER (class = 'evolution') AS evolutions, CASE max(tier) WHEN 3 THEN 'block' WHEN 2 THEN 'alert' ELSE 'log' END AS action FROM d_found")
 def drift_summary(spark, sf_dir):
     return drift.report(_findings(spark, sf_dir))
 
 
 @_b.query(
-    """WITH b AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
-o AS (SELECT count(*) AS n, count(*) FILTER (event_type NOT IN (SELECT min(event_type) FROM events)) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-16')
-SELECT event_type AS cluster_id, 'cluster_routing_regression' AS drift_type, round(s, 6) AS before, 0.0::DOUBLE AS after FROM b WHERE event_type = (SELECT min(event_type) FROM events)"""
+    f"""WITH g AS (SELECT min(event_type) AS gone FROM events), b AS (SELECT event_type AS c, count(*) / (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+left_ AS (SELECT event_type AS c FROM events, g WHERE ts >= TIMESTAMP '2024-01-16' AND event_type <> gone), t AS (SELECT count(*) AS n FROM left_), o AS (SELECT c, count(*) AS k FROM left_ GROUP BY c),
+j AS (SELECT c, s, coalesce(k, 0) AS k, coalesce(k, 0) / n AS a, n FROM b LEFT JOIN o USING (c), t), z AS (SELECT *, CASE WHEN s >= 1 THEN 0 ELSE (a - s) * (a - s) / (s * (1 - s) / n) END AS zz FROM j)
+SELECT c AS cluster_id, 'cluster_routing_regression' AS drift_type, round(s, 6) AS before, round(a, 6) AS after FROM z WHERE s >= 0.1 AND n >= 30 AND (k = 0 OR ((s - a) / s >= 0.2 AND (zz > 57 OR {_P("zz")} < 0.01)))"""
 )
 def cluster_regression(spark, sf_dir):
     """One family is taken out of the observed half: only its regression is found."""
@@ -332,7 +331,7 @@ def cluster_regression(spark, sf_dir):
     first = F.broadcast(e.agg(F.min("event_type").alias("gone")))
     left = seen.join(first, F.col("event_type") == F.col("gone"), "left_anti")
     d = drift.cluster_drift(shares, drift.route(left, shares))
-    return d.filter(F.col("after") < F.col("before")).select("cluster_id", "drift_type", r6("before").alias("before"), r6("after").alias("after"))
+    return d.filter(F.col("drift_type") == "cluster_routing_regression").select("cluster_id", "drift_type", r6("before").alias("before"), r6("after").alias("after"))
 
 
 @_b.query("SELECT '_unknown' AS cluster_id, 'new_cluster' AS drift_type, round(count(*) FILTER (event_type = (SELECT max(event_type) FROM events)) / count(*), 6) AS after FROM events WHERE ts >= TIMESTAMP '2024-01-16'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import text
 from driftloom.operators import inference, lineage, profile, reports
 from driftloom.operators.cells import rebuild
+from driftloom.plans import detection_sql
 from driftloom.plans.fixtures import CELLS, event_cells, events
 from driftloom.plans.registry import Book
 from driftloom.sources import parse
@@ -47,10 +48,17 @@ def version_bumps(spark, sf_dir):
     return e.select(i.alias("id"), text.bump_version(old, i % 3 + 1).alias("version"))
 
 
-@_b.query("SELECT path, n FROM (SELECT 'user.email' AS path, 'email' AS n UNION ALL SELECT 'card', 'card_number' UNION ALL SELECT 'card', 'national_id')")
+@_b.query(
+    CELLS
+    + ", first AS (SELECT event_type, path, text FROM (SELECT event_type, path, kind, text, row_number() OVER (PARTITION BY event_type, path ORDER BY seq) AS nth FROM cells WHERE kind <> 'null') WHERE nth <= 20 AND kind = 'string'), own AS (SELECT DISTINCT event_type || ':' || path AS path, event_type, path AS plain FROM cells), "
+    + detection_sql.personal("f", "cells", "first").replace("SELECT DISTINCT path, '", "SELECT DISTINCT event_type, path, '")
+    + """ SELECT category, count(*) AS fields, count(DISTINCT event_type) AS streams FROM (SELECT event_type, path, category FROM f_shows UNION SELECT event_type, plain, category FROM own JOIN f_name n ON n.path = plain) GROUP BY category"""
+)
 def pii_summary(spark, sf_dir):
-    f = inference.statistical(event_cells(spark, sf_dir, ("seq",)), events(spark, sf_dir))
-    return f.select("path", F.explode("pii").alias("n"))
+    """Each event type is a stream."""
+    c, e = event_cells(spark, sf_dir, ("seq", "event_type")), events(spark, sf_dir)
+    f = inference.statistical(c, e.select("seq", "event_type"), ["event_type"])
+    return lineage.pii_summary(f.withColumnRenamed("event_type", "stream"))
 
 
 @_b.query(CELLS + "SELECT path FROM cells WHERE lower(path) LIKE '%user%' GROUP BY path")
