@@ -81,14 +81,14 @@ def chi2_test(pairs: DataFrame, keys: list[str], least: float = 5.0, alpha: floa
 def psi(base: DataFrame, observed: DataFrame, keys: list[str], value: str, bins: int = 10, threshold: float = 0.2) -> DataFrame:
     """Population stability index by ``keys``: bins at exact order statistics of the
     baseline, outliers in the end bins, shares floored at 1 / (n * edges)."""
-    order = Window.partitionBy(*keys).orderBy(value)
     b = base.select(*keys, F.col(value).alias("v")).filter(F.col("v").isNotNull())
     o = observed.select(*keys, F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    ranked = b.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    del order
+    # Values are counted before they are ordered; a value holds the places from ``upto - c`` on.
+    counts = b.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    ranked = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
     k = F.least(F.lit(bins), F.col("n"))
     wanted = F.transform(F.sequence(F.lit(0), k.cast("int")), lambda j: F.floor(j * (F.col("n") - 1) / k))
-    edges = ranked.filter(F.array_contains(wanted, F.col("i").cast("long"))).groupBy(*keys).agg(F.array_sort(F.collect_set("v")).alias("edges"), F.max("n").alias("n"))
+    edges = ranked.filter(F.exists(wanted, lambda i: (i >= F.col("upto") - F.col("c")) & (i < F.col("upto")))).groupBy(*keys).agg(F.array_sort(F.collect_set("v")).alias("edges"), F.max("n").alias("n"))
     both = b.withColumn("side", F.lit(0)).union(o.withColumn("side", F.lit(1))).join(edges, keys)
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     counted = both.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("v")))).groupBy(*keys, "bin").agg(F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("o"), F.max("n").alias("n"), F.max(F.size("edges")).alias("e"))
@@ -131,3 +131,20 @@ def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = over(tp, tp + fp), over(tp, tp + fn)
     return p, r, over(2 * p * r, p + r)
+
+
+def summarise_tests(tests: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, drifted, dominant, max_effect) of rows (keys, test, significant, effect):
+    any significant test is a drift, and the one of the largest effect dominates; without
+    one, the largest effect of all is told.  Ties go to the test of the smaller name."""
+    hit = F.col("significant")
+    first = F.min_by("test", F.when(hit, F.struct((-F.col("effect")).alias("e"), "test")))
+    g = tests.groupBy(*keys).agg(F.bool_or(hit).alias("drifted"), first.alias("dominant"), F.max(F.when(hit, F.col("effect"))).alias("strong"), F.max("effect").alias("any"))
+    return g.select(*keys, "drifted", F.when(F.col("drifted"), F.col("dominant")).alias("dominant"), F.coalesce("strong", "any").alias("max_effect"))
+
+
+def suppression_rate(tested: DataFrame, family: list[str]) -> DataFrame:
+    """(family, tests, significant, suppressed, rate) after Benjamini-Hochberg: the share of
+    tests significant alone that the correction holds back."""
+    g = tested.groupBy(*family).agg(F.count("*").alias("tests"), F.count_if("significant").alias("significant"), F.count_if("suppressed").alias("suppressed"))
+    return g.withColumn("rate", F.coalesce(F.try_divide("suppressed", F.col("significant") + F.col("suppressed")), F.lit(0.0)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +39,15 @@ def since(text: str) -> timedelta:
     return timedelta(**{{"d": "days", "h": "hours", "m": "minutes"}[m[2]]: int(m[1])}) if m else timedelta(days=30)
 
 
+def since_time(text: str, now: datetime) -> datetime:
+    """The time that a window begins at: an ISO date or time, or so long before now."""
+    try:
+        at = datetime.fromisoformat((text or "").strip())
+    except ValueError:
+        return now - since(text)
+    return at.replace(tzinfo=now.tzinfo) if at.tzinfo is None else at
+
+
 def percent(rate: Column) -> Column:
     return F.concat(F.round(F.coalesce(rate, F.lit(0.0)) * 100).cast("int").cast("string"), F.lit("%"))
 

@@ -84,8 +84,16 @@ def json_literal(kind: Column, text: Column) -> Column:
     return F.when(kind == "null", "null").when(kind.isin("integer", "float", "boolean", "array", "object"), text).otherwise(quoted)
 
 
-def rebuild(cells_: DataFrame, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """(keep, raw): flat JSON objects of the cells again, names in order."""
-    pair = F.concat(F.regexp_extract(F.to_json(F.struct(F.col("path").alias("x"))), r"^\{\"x\":(.*)\}$", 1), F.lit(":"), json_literal(F.col("kind"), F.col("text")))
-    got = cells_.groupBy(*keep).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    return got.select(*keep, F.concat(F.lit("{"), F.array_join("pairs", ","), F.lit("}")).alias("raw"))
+def rebuild(cells_: DataFrame, keep: tuple[str, ...] = ("seq",), depth: int = DEPTH) -> DataFrame:
+    """(keep, raw): the cells' JSON objects again, nested by the dots of their paths,
+    names in order.  Cells below ``[]`` are left out, as the array's own cell holds them;
+    a name that itself has a dot comes back nested."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"^\{\"x\":(.*)\}$", 1)
+    rows = cells_.filter(~F.contains("path", F.lit("[]."))).select(*keep, F.split("path", r"\.").alias("way"), json_literal(F.col("kind"), F.col("text")).alias("json"))
+    most = rows.agg(F.max(F.size("way"))).first()[0] or 1
+    for level in range(min(most, depth + 1), 0, -1):
+        deep = F.size("way") == level
+        pair = F.concat(quoted(F.element_at("way", -1)), F.lit(":"), F.col("json"))
+        folded = rows.filter(deep).groupBy(*keep, F.slice("way", 1, F.size("way") - 1).alias("way")).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("}")).alias("json"))
+        rows = folded if level == most == 1 else rows.filter(~deep).unionByName(folded)
+    return rows.select(*keep, F.col("json").alias("raw"))

@@ -80,18 +80,21 @@ def enum_novelty(cells: DataFrame, baseline: DataFrame, keys: list[str]) -> Data
     known = baseline.filter(F.size("enum") > 0).select(*on, "enum")
     v = cells.filter(F.col("kind") != "null").join(known, on).groupBy(*on, "text").agg(F.count("*").alias("c"), F.first("enum").alias("enum"))
     novel = F.sum(F.when(~F.array_contains("enum", F.col("text")), F.col("c")).otherwise(0))
-    return v.groupBy(*on).agg((novel / F.sum("c")).alias("novel_rate"), F.slice(F.array_sort(F.collect_set("text")), 1, 50).alias("new_enum"))
+    rate = v.groupBy(*on).agg((novel / F.sum("c")).alias("novel_rate"))
+    few = profile.first_n(v.select(*on, "text"), on, 50, ["text"]).groupBy(*on).agg(F.array_sort(F.collect_list("text")).alias("new_enum"))
+    return rate.join(few, on, "left")
 
 
 def detect(baseline: DataFrame, cells: DataFrame, events: DataFrame, keys: list[str] | None = None, family: str = "tested", alpha: float = ALPHA, q: float = FDR) -> DataFrame:
     """Findings (keys, path, drift_type, before, after, old_type, new_type, p, p_adjusted, tier, class).
 
-    ``baseline``: (keys, path, field_type, presence, enum, pii).  ``family="tested"``
+    ``baseline``: (keys, path, field_type, presence, enum, pii), and confidence if
+    findings on fields of low confidence are to be noise.  ``family="tested"``
     controls false discoveries over all tests; ``"candidates"`` only over those that
     were significant alone.  The baseline is small and may be broadcast by its size."""
     keys = keys or []
     on = [*keys, "path"]
-    base = baseline.select(*on, F.col("field_type").alias("old_type"), F.col("presence").alias("before"), F.coalesce("enum", F.array().cast("array<string>")).alias("enum"), F.coalesce("pii", F.array().cast("array<string>")).alias("old_pii"), F.lit(True).alias("known"))
+    base = baseline.select(*on, F.col("field_type").alias("old_type"), F.col("presence").alias("before"), F.coalesce("enum", F.array().cast("array<string>")).alias("enum"), F.coalesce("pii", F.array().cast("array<string>")).alias("old_pii"), F.lit(True).alias("known"), *([F.col("confidence")] if "confidence" in baseline.columns else []))
     seen = observe(cells, events, keys)
     j = base.join(seen, on, "full").join(enum_novelty(cells, base, keys), on, "left")
     j = j.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("old_pii", "new_pii", "enum")})
@@ -131,7 +134,8 @@ def detect(baseline: DataFrame, cells: DataFrame, events: DataFrame, keys: list[
     )
     rows = m.withColumn("tests", F.when(stays & large & ~moved, 1).otherwise(0) + F.when(stays & changed & (F.col("n") >= CHI2_LEAST) & ~type_hit, 1).otherwise(0))
     quiet = rows.groupBy(*keys).agg(F.sum("tests").alias("quiet")) if keys else rows.agg(F.sum("tests").alias("quiet"))
-    found = rows.select(*on, "before", "after", "old_type", "new_type", F.col("enum").alias("old_enum"), "new_enum", extra.alias("pii"), F.explode(findings).alias("x")).select("*", "x.drift_type", "x.p").drop("x")
+    sure = ["confidence"] if "confidence" in base.columns else []
+    found = rows.select(*on, *sure, "before", "after", "old_type", "new_type", F.col("enum").alias("old_enum"), "new_enum", extra.alias("pii"), F.explode(findings).alias("x")).select("*", "x.drift_type", "x.p").drop("x")
     found = found.join(quiet, keys, "left") if keys else found.crossJoin(F.broadcast(quiet))  # one row
     by = Window.partitionBy(*keys, F.col("p").isNotNull())
     rank = F.row_number().over(by.orderBy("p", "path", "drift_type"))
@@ -141,7 +145,7 @@ def detect(baseline: DataFrame, cells: DataFrame, events: DataFrame, keys: list[
     kept = ranked.filter(F.col("p").isNull() | (F.col("p_adjusted") < q))
     k = F.col("drift_type")
     level = tier(k, F.col("before"), F.col("after"), F.col("old_type"), F.col("new_type"))
-    kind = drift_class(k, F.col("after"), F.col("old_type"), F.col("new_type"), F.col("old_enum"), F.col("new_enum"))
+    kind = drift_class(k, F.col("after"), F.col("old_type"), F.col("new_type"), F.col("old_enum"), F.col("new_enum"), F.col("confidence") if sure else None)
     return kept.select(*on, "drift_type", "before", "after", "old_type", "new_type", "p", "p_adjusted", level.alias("tier"), kind.alias("class"), "pii")
 
 
@@ -194,8 +198,11 @@ def validate(cells: DataFrame, events: DataFrame, schema: DataFrame, strict: boo
     off their enum, values off their type."""
     required = schema.filter("required").select("path")
     seen = cells.select("seq", "path", "kind", "text")
-    need = events.select("seq").join(required)  # every event needs every required field of the small schema
-    missing = need.join(seen.select("seq", "path"), ["seq", "path"], "left_anti").withColumn("problem", F.lit("missing"))
+    have = seen.select("seq", "path").join(required, "path").groupBy("seq").agg(F.collect_set("path").alias("have"))
+    wanted = required.agg(F.array_sort(F.collect_set("path")).alias("wanted"))
+    # One row of wanted names; an event is one row until something is missing.
+    each = events.select("seq").join(have, "seq", "left").crossJoin(F.broadcast(wanted))
+    missing = each.select("seq", F.explode(F.array_except("wanted", F.coalesce("have", F.array().cast("array<string>")))).alias("path")).withColumn("problem", F.lit("missing"))
     j = seen.join(schema.select("path", "field_type", "enum"), "path")
     off = j.filter((F.size("enum") > 0) & (F.col("kind") != "null") & ~F.array_contains("enum", F.col("text"))).select("seq", "path", F.lit("not_in_enum").alias("problem"))
     wrong = j.filter(~types.matches(F.col("kind"), F.col("text"), F.col("field_type"))).select("seq", "path", F.lit("wrong_type").alias("problem"))
@@ -203,3 +210,9 @@ def validate(cells: DataFrame, events: DataFrame, schema: DataFrame, strict: boo
     if strict:
         out = out.unionByName(seen.join(schema.select("path"), "path", "left_anti").select("seq", "path", F.lit("unknown").alias("problem")))
     return out
+
+
+def destinations(findings: DataFrame) -> DataFrame:
+    """Findings with where their class goes: incidents, proposals or the log."""
+    to = F.when(F.col("class") == "drift", "incident").when(F.col("class") == "evolution", "proposal").otherwise("log")
+    return findings.withColumn("destination", to)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import stats
 from driftloom.operators.sampling import draw
 
+FIELDS = 1000
 KINDS = ("type_flip", "enum_add", "presence_drop", "field_added", "field_removed", "pii_add", "nesting_change")
 
 
@@ -95,7 +96,9 @@ def generate(spark, schema: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(seq, path, kind, text): n synthetic events of a schema (path, field_type,
     presence, enum), each value drawn from a hash of event and path."""
     ids = spark.range(n).withColumnRenamed("id", "seq")
-    j = ids.join(F.broadcast(schema.select("path", "field_type", "presence", "enum").limit(1000)))  # a schema has at most 1000 fields
+    if schema.count() > FIELDS:
+        raise ValueError(f"a schema has at most {FIELDS} fields")
+    j = ids.join(F.broadcast(schema.select("path", "field_type", "presence", "enum")))  # checked above
     u = lambda s: uniform(j, F.lit(f"{seed}{s}"), F.col("seq"), F.col("path"))
     h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("seq").cast("string"), F.col("path")).cast("binary"))
     t = F.col("field_type")

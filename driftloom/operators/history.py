@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import types
 
 # Thresholds of trends and proposals.
-MIN_SNAPSHOTS, SLOPE, SIGMA, ENUM_PER_DAY = 3, 0.002, 0.10, 1 / 30
+MIN_SNAPSHOTS, SLOPE, SIGMA, ENUM_PER_MONTH = 3, 0.002, 0.10, 1.0
 DIFF_PRESENCE, DIFF_MINOR = 0.02, 0.15
 WEEKS, AUTO = 4, 0.90
 EMPTY = F.array
@@ -78,24 +78,35 @@ def velocity(snapshots: DataFrame) -> DataFrame:
     trend = (
         F.when(F.col("n") < MIN_SNAPSHOTS, "insufficient_data").when(F.col("sigma") > SIGMA, "volatile").when(F.col("slope") > SLOPE, "rising").when(F.col("slope") < -SLOPE, "declining").otherwise("stable")
     )
-    g = g.withColumn("trend", trend).join(enum_growth(snapshots), keys, "left").withColumn("enum_growth", F.coalesce("enum_growth", F.lit(0.0)))
+    g = g.withColumn("trend", trend).join(enum_growth(snapshots), keys, "left")
     last = F.col("last_presence")
     alert = (
         F.when((F.col("trend") == "declining") & (last < 0.40), "removal_risk")
-        .when(F.col("slope") < -0.01, "fast_decline")
+        .when((F.col("trend") == "declining") & (F.col("slope") < -0.01), "fast_decline")
         .when((F.col("trend") == "volatile") & (last < 0.35), "unstable")
-        .when(F.col("enum_growth") > ENUM_PER_DAY, "enum_growth")
+        .when(F.col("enum_growth") > ENUM_PER_MONTH, "enum_growth")
     )
     return g.withColumn("alert", alert).select(*keys, "n", "first_presence", "last_presence", F.round("slope", 6).alias("slope"), F.round("sigma", 6).alias("sigma"), "trend", "enum_growth", "alert")
 
 
 def enum_growth(snapshots: DataFrame) -> DataFrame:
-    """New distinct values per day after the first snapshot."""
+    """New distinct values after the first snapshot, in 30 days; fields that never
+    listed values have no row."""
     keys = ["cluster_id", "path"]
-    span = snapshots.groupBy(*keys).agg(F.min("snapshot_date").alias("d0"), F.datediff(F.max("snapshot_date"), F.min("snapshot_date")).alias("days"))
-    first = snapshots.select(*keys, "snapshot_date", F.explode("enum").alias("value")).groupBy(*keys, "value").agg(F.min("snapshot_date").alias("d"))
+    listed = snapshots.filter(F.size("enum") > 0)
+    span = listed.groupBy(*keys).agg(F.min("snapshot_date").alias("d0"), F.datediff(F.max("snapshot_date"), F.min("snapshot_date")).alias("days"))
+    first = listed.select(*keys, "snapshot_date", F.explode("enum").alias("value")).groupBy(*keys, "value").agg(F.min("snapshot_date").alias("d"))
     new = first.join(span, keys).groupBy(*keys).agg(F.count_if(F.col("d") > F.col("d0")).alias("new"), F.first("days").alias("days"))
-    return new.select(*keys, F.when(F.col("days") > 0, F.col("new") / F.col("days")).otherwise(0.0).alias("enum_growth"))
+    return new.select(*keys, F.round(F.col("new") / F.greatest("days", F.lit(1)) * 30, 2).alias("enum_growth"))
+
+
+def fill_absent(snapshots: DataFrame) -> DataFrame:
+    """(cluster_id, path, snapshot_date, presence, enum): with a row of presence 0 where
+    a cluster's snapshot lacks a field that another one of the cluster has."""
+    dates = snapshots.select("cluster_id", "snapshot_date").distinct()
+    every = snapshots.select("cluster_id", "path").distinct().join(dates, "cluster_id")
+    got = every.join(snapshots, ["cluster_id", "path", "snapshot_date"], "left")
+    return got.select("cluster_id", "path", "snapshot_date", F.coalesce("presence", F.lit(0.0)).alias("presence"), _list("enum").alias("enum"))
 
 
 def stability(velocities: DataFrame) -> DataFrame:
@@ -167,3 +178,20 @@ def accept(schema: DataFrame, findings: DataFrame) -> DataFrame:
 def write_snapshot(profile: DataFrame, path: str) -> None:
     """One snapshot a stream and date: (stream, snapshot_date, ...) overwritten by partition."""
     profile.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "snapshot_date").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, stream: str) -> DataFrame:
+    """A stream's snapshots; the partitions of other streams are not read."""
+    return spark.read.parquet(path).filter(F.col("stream") == stream)
+
+
+def snapshot_dates(snapshots: DataFrame) -> DataFrame:
+    """(cluster_id, oldest, latest, n): what there is to compare."""
+    return snapshots.groupBy("cluster_id").agg(F.min("snapshot_date").alias("oldest"), F.max("snapshot_date").alias("latest"), F.count_distinct("snapshot_date").alias("n"))
+
+
+def ends(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each cluster's oldest and latest snapshot."""
+    dates = snapshot_dates(snapshots)
+    at = lambda which: snapshots.join(dates.select("cluster_id", F.col(which).alias("snapshot_date")), ["cluster_id", "snapshot_date"])
+    return at("oldest"), at("latest")

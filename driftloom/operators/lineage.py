@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CRITICALITY = {"high": 3, "medium": 2, "low": 1}
@@ -161,3 +161,24 @@ def metrics_summary(fields: DataFrame, incidents: DataFrame) -> DataFrame:
     f = fields.agg(F.count_distinct("stream").alias("streams"), F.count("*").alias("fields"), F.count_if(F.size("pii") > 0).alias("pii_fields"))
     i = incidents.agg(F.count_if(F.col("status") == "open").alias("open_incidents"), F.count_if((F.col("status") == "open") & (F.col("tier") == 3)).alias("open_breaking"))
     return f.crossJoin(i)  # one row each
+
+
+def discover(topics: DataFrame, schemas: DataFrame, incidents: DataFrame, pattern: str = "*") -> DataFrame:
+    """(topic, known, version, open_incidents) of topics that a glob matches and whose
+    names don't start with an underscore, with the schema (stream, version) of each."""
+    like = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if not c.isalnum() and c != "_" else c for c in pattern)
+    own = topics.filter(~F.col("topic").startswith("_") & F.col("topic").rlike(f"^{like}$"))
+    open_ = incidents.filter(F.col("status") == "open").groupBy(F.col("stream").alias("topic")).agg(F.count("*").alias("open_incidents"))
+    j = own.join(schemas.select(F.col("stream").alias("topic"), "version"), "topic", "left").join(open_, "topic", "left")
+    return j.select("topic", F.col("version").isNotNull().alias("known"), "version", F.coalesce("open_incidents", F.lit(0)).alias("open_incidents"))
+
+
+def recommendation(criticality: Column, required: Column, tier: Column) -> Column:
+    """What a consumer of a drifted field should do."""
+    return (
+        F.when((tier == 3) & required, "stop the release until the consumer is changed")
+        .when(tier == 3, "tell the consumer's team before the release")
+        .when((tier == 2) & (F.lower(criticality) == "high"), "test the consumer against the new shape")
+        .when(tier == 2, "tell the consumer's team")
+        .otherwise("nothing to do")
+    )

@@ -96,8 +96,9 @@ def enums(cells: DataFrame, most: int = 20) -> DataFrame:
     """(path, enum): values by falling count, of fields whose values are all strings and few."""
     c = cells.filter(F.col("kind") != "null")
     per = c.groupBy("path", F.col("text").alias("value")).agg(F.count("*").alias("n"), F.count_if(F.col("kind") != "string").alias("others"))
-    got = per.groupBy("path").agg(F.count("*").alias("k"), F.sum("others").alias("others"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))).alias("x"))
-    return got.filter((F.col("k") <= most) & (F.col("others") == 0)).select("path", F.transform("x", lambda s: s["value"]).alias("enum"))
+    short = per.groupBy("path").agg(F.count("*").alias("k"), F.sum("others").alias("others")).filter((F.col("k") <= most) & (F.col("others") == 0)).select("path")
+    got = per.join(short, "path").groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))).alias("x"))
+    return got.select("path", F.transform("x", lambda s: s["value"]).alias("enum"))
 
 
 def top_keys(events: DataFrame, n: int = 15) -> DataFrame:
@@ -199,8 +200,19 @@ def sketch(cells: DataFrame, keys: list[str] | None = None, most: int = 50) -> D
     return kinds.join(top, [*keys, "path"], "left")
 
 
-def merge_sketches(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Counts add up, so sketches of parts give the sketch of the whole."""
-    u = a.select("path", "present", "nulls", "types").unionByName(b.select("path", "present", "nulls", "types"))
+def merge_sketches(a: DataFrame, b: DataFrame, most: int = 50) -> DataFrame:
+    """Counts add up, so sketches of parts give the sketch of the whole; the listed
+    strings are united, the first ``most`` of them by name."""
+    cols = ["path", "present", "nulls", "types", "enum"]
+    u = a.select(*cols).unionByName(b.select(*cols))
     types_ = u.select("path", F.explode("types").alias("t", "n")).groupBy("path", "t").agg(F.sum("n").alias("n")).groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "n")))).alias("types"))
-    return u.groupBy("path").agg(F.sum("present").alias("present"), F.sum("nulls").alias("nulls")).join(types_, "path", "left")
+    listed = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("enum")))), 1, most)
+    return u.groupBy("path").agg(F.sum("present").alias("present"), F.sum("nulls").alias("nulls"), listed.alias("enum")).join(types_, "path", "left")
+
+
+def from_sketch(sketch_: DataFrame, events: int, required: float = 0.8) -> DataFrame:
+    """(path, field_type, presence, required, enum): a profile from mergeable counters."""
+    kinds = F.array_sort(F.filter(F.map_keys("types"), lambda t: t != "null"))
+    kind = F.when(F.size(kinds) == 0, "null").when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise("mixed")
+    rate = F.col("present") / F.lit(float(events))
+    return sketch_.select("path", kind.alias("field_type"), rate.alias("presence"), (rate >= required).alias("required"), "enum")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from driftloom.plans import core, joins, tables
+from driftloom.plans import core, joins, more, tables
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (core, joins, tables):
+for _m in (core, joins, tables, more):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftloom.operators import drift, evaluation, history, incidents, lineage, profile
-from driftloom.plans.fixtures import CELLS, event_cells, events
+from driftloom.plans import detection_sql
+from driftloom.plans.fixtures import CELLS, SEMANTIC, event_cells, events
 from driftloom.plans.registry import Book
 
 _b = Book()
@@ -47,9 +49,16 @@ def field_graph(spark, sf_dir):
     return lineage.field_graph(_fields(spark, sf_dir)).select("path", F.array_join("streams", ",").alias("streams"), "n_streams")
 
 
-@_b.query("SELECT * FROM (VALUES ('label', 2, 'int,string')) t(path, n_streams, types) WHERE false")
+@_b.query(
+    CELLS
+    + f""", f AS (SELECT half, path, {SEMANTIC} AS t FROM cells WHERE kind <> 'null' QUALIFY row_number() OVER (PARTITION BY half, path ORDER BY seq) <= 50),
+t AS (SELECT half, path, CASE WHEN count(DISTINCT f.t) = 0 THEN 'null' WHEN count(DISTINCT f.t) = 1 THEN min(f.t) ELSE 'mixed' END AS t FROM (SELECT DISTINCT half, path FROM cells) LEFT JOIN f USING (half, path) GROUP BY 1, 2)
+SELECT path, count(*)::INT AS n_streams, string_agg(DISTINCT t, ',' ORDER BY t) AS types FROM t GROUP BY path HAVING count(DISTINCT t) > 1"""
+)
 def inconsistencies(spark, sf_dir):
-    return lineage.inconsistencies(_fields(spark, sf_dir)).select("path", "n_streams", F.array_join("types", ",").alias("types"))
+    """The halves of the events are two streams."""
+    t = profile.field_types(event_cells(spark, sf_dir, ("seq", "half")), ["half"])
+    return lineage.inconsistencies(t.withColumnRenamed("half", "stream")).select("path", "n_streams", F.array_join("types", ",").alias("types"))
 
 
 @_b.query(f"WITH {_FIELDS} SELECT path FROM fields WHERE stream = 'documents' INTERSECT SELECT path FROM fields WHERE stream = 'conversations'")
@@ -105,6 +114,10 @@ snap AS (SELECT week AS snapshot_date, path, count(*) / any_value(n) AS presence
 )
 
 
+_GROWN = """, first_seen AS (SELECT text, min(week) AS d FROM wk WHERE path = 'currency' GROUP BY 1), span AS (SELECT min(week) AS d0, greatest(max(week) - min(week), 1) AS days FROM wk WHERE path = 'currency'),
+grown AS (SELECT round(count(*) FILTER (d > d0) / any_value(days) * 30, 2) AS growth FROM first_seen, span)"""
+
+
 def _snapshots(spark, sf_dir):
     week = F.date_sub("day", (F.dayofmonth("day") - 1) % 7)
     c = event_cells(spark, sf_dir, ("seq", "day")).withColumn("snapshot_date", week)
@@ -118,33 +131,35 @@ def _snapshots(spark, sf_dir):
 
 @_b.query(
     _SNAP
+    + _GROWN
     + """, x AS (SELECT *, (snapshot_date - min(snapshot_date) OVER (PARTITION BY path))::DOUBLE AS d FROM snap),
 g AS (SELECT path, count(*) AS n, arg_min(presence, snapshot_date) AS f, arg_max(presence, snapshot_date) AS l, regr_sxx(presence, d) AS sxx, regr_syy(presence, d) AS syy, regr_sxy(presence, d) AS sxy FROM x GROUP BY path),
 v AS (SELECT *, CASE WHEN sxx > 0 THEN sxy / sxx ELSE 0 END AS slope FROM g), z AS (SELECT *, sqrt(greatest(0, (syy - slope * slope * sxx) / n)) AS sigma FROM v)
 SELECT path, n, round(f, 6) AS first_presence, round(l, 6) AS last_presence, round(slope, 6) AS slope, round(sigma, 6) AS sigma,
-CASE WHEN n < 3 THEN 'insufficient_data' WHEN sigma > 0.10 THEN 'volatile' WHEN slope > 0.002 THEN 'rising' WHEN slope < -0.002 THEN 'declining' ELSE 'stable' END AS trend FROM z"""
+trend, growth AS enum_growth, CASE WHEN trend = 'declining' AND l < 0.4 THEN 'removal_risk' WHEN trend = 'declining' AND slope < -0.01 THEN 'fast_decline' WHEN trend = 'volatile' AND l < 0.35 THEN 'unstable' WHEN growth > 1 THEN 'enum_growth' END AS alert
+FROM (SELECT *, CASE WHEN n < 3 THEN 'insufficient_data' WHEN sigma > 0.10 THEN 'volatile' WHEN slope > 0.002 THEN 'rising' WHEN slope < -0.002 THEN 'declining' ELSE 'stable' END AS trend, CASE WHEN path = 'currency' THEN (SELECT growth FROM grown) END AS growth FROM z)"""
 )
 def velocity(spark, sf_dir):
     v = history.velocity(_snapshots(spark, sf_dir))
-    return v.select("path", "n", r6("first_presence").alias("first_presence"), r6("last_presence").alias("last_presence"), "slope", "sigma", "trend")
+    return v.select("path", "n", r6("first_presence").alias("first_presence"), r6("last_presence").alias("last_presence"), "slope", "sigma", "trend", "enum_growth", "alert")
 
 
-@_b.query(
-    _SNAP
-    + """, f AS (SELECT text, min(week) AS d FROM wk WHERE path = 'currency' GROUP BY 1), s AS (SELECT min(week) AS d0, max(week) - min(week) AS days FROM wk)
-SELECT 'currency' AS path, round(count(*) FILTER (d > d0) / any_value(days), 6) AS enum_growth FROM f, s"""
-)
+@_b.query(_SNAP + _GROWN + " SELECT 'currency' AS path, growth AS enum_growth FROM grown")
 def enum_growth(spark, sf_dir):
-    return history.enum_growth(_snapshots(spark, sf_dir)).select("path", r6("enum_growth").alias("enum_growth"))
+    return history.enum_growth(_snapshots(spark, sf_dir)).select("path", "enum_growth")
 
 
 @_b.query(
     CELLS
+    + detection_sql.HALVES
     + """, n AS (SELECT half, count(*) AS n FROM ev GROUP BY 1), p AS (SELECT path, count(*) FILTER (half = 'baseline') / (SELECT n FROM n WHERE half = 'baseline') AS a, count(*) FILTER (half = 'observed') / (SELECT n FROM n WHERE half = 'observed') AS b FROM cells GROUP BY 1)
 SELECT path, change, significance FROM (SELECT path, 'field_added' AS change, CASE WHEN b >= 0.8 THEN 'breaking' ELSE 'non_breaking' END AS significance FROM p WHERE a = 0 UNION ALL SELECT path, 'field_removed', CASE WHEN a >= 0.8 THEN 'breaking' ELSE 'non_breaking' END FROM p WHERE b = 0
 UNION ALL SELECT path, 'presence_changed', CASE WHEN abs(b - a) >= 0.15 THEN 'non_breaking' ELSE 'informational' END FROM p WHERE a > 0 AND b > 0 AND abs(b - a) >= 0.02
 UNION ALL SELECT path, 'required_changed', CASE WHEN b >= 0.8 THEN 'breaking' ELSE 'non_breaking' END FROM p WHERE a > 0 AND b > 0 AND (a >= 0.8) <> (b >= 0.8)
-UNION ALL SELECT 'ts', 'type_changed', 'breaking' UNION ALL SELECT 'currency', 'enum_added', 'non_breaking')"""
+UNION ALL SELECT path, 'type_changed', CASE WHEN b.ty IN ('integer', 'float', 'string') AND o.ty = 'mixed' OR o.ty IN ('integer', 'float', 'string') AND b.ty = 'mixed' OR least(b.ty, o.ty) = 'float' AND greatest(b.ty, o.ty) = 'integer' THEN 'non_breaking' ELSE 'breaking' END FROM b_p b JOIN o_p o USING (path) WHERE b.ty <> o.ty
+UNION ALL SELECT DISTINCT 'currency', 'enum_added', 'non_breaking' FROM oc WHERE path = 'currency' AND text NOT IN (SELECT text FROM bc WHERE path = 'currency')
+UNION ALL SELECT DISTINCT 'currency', 'enum_removed', 'breaking' FROM bc WHERE path = 'currency' AND text NOT IN (SELECT text FROM oc WHERE path = 'currency')
+UNION ALL SELECT DISTINCT path, 'pii_added', 'breaking' FROM o_pii x WHERE path IN (SELECT path FROM b_p) AND category NOT IN (SELECT category FROM b_pii y WHERE y.path = x.path))"""
 )
 def profile_diff(spark, sf_dir):
     c, e = event_cells(spark, sf_dir, ("seq", "half")), events(spark, sf_dir)
@@ -158,27 +173,41 @@ def profile_diff(spark, sf_dir):
 
 
 @_b.query(
-    """WITH r AS (SELECT event_type AS path, dayofmonth(ts) AS cycle, count(*) FILTER (event_id % 60 >= dayofmonth(ts)) / count(*) AS rate FROM events GROUP BY ALL),
-d AS (SELECT *, rate - lag(rate) OVER (PARTITION BY path ORDER BY cycle) AS delta, row_number() OVER (PARTITION BY path ORDER BY cycle DESC) AS age FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY cycle DESC) <= 10)),
+    """WITH c AS (SELECT event_type AS path, dayofmonth(ts) AS cycle, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT path, cycle, 1 - sum(n) OVER (PARTITION BY path ORDER BY cycle) / sum(n) OVER (PARTITION BY path) AS rate FROM c),
+d AS (SELECT *, rate - lag(rate) OVER (PARTITION BY path ORDER BY cycle) AS delta, row_number() OVER (PARTITION BY path ORDER BY cycle DESC) AS age FROM (SELECT * FROM r WHERE cycle <= 20 QUALIFY row_number() OVER (PARTITION BY path ORDER BY cycle DESC) <= 10)),
 w AS (SELECT *, max(delta) OVER x AS worst, avg(delta) OVER x AS step, count(delta) OVER x AS k FROM d WINDOW x AS (PARTITION BY path ORDER BY cycle ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT path, round(rate, 6) AS rate, round(step, 6) AS mean_delta, round((rate - 0.4) / abs(step), 6) AS cycles_left FROM w WHERE age = 1 AND k = 3 AND worst < 0 AND abs(step) >= 0.005 AND rate > 0.4 AND (rate - 0.4) / abs(step) <= 3"""
+SELECT path, round(rate, 6) AS rate, round(step, 6) AS mean_delta, round((rate - 0.25) / abs(step), 6) AS cycles_left FROM w WHERE age = 1 AND k = 3 AND worst < 0 AND abs(step) >= 0.005 AND rate > 0.25 AND (rate - 0.25) / abs(step) <= 3"""
 )
 def pre_drift_trend(spark, sf_dir):
+    """The share of each type's events still to come falls by the day; seen from day 20."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    d = F.dayofmonth("ts")
-    r = e.groupBy(F.col("event_type").alias("path"), d.alias("cycle")).agg((F.count_if(F.col("event_id") % 60 >= d) / F.count("*")).alias("rate"))
-    t = history.trend_warnings(r, 0.4)
+    c = e.groupBy(F.col("event_type").alias("path"), F.dayofmonth("ts").alias("cycle")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("path")
+    r = c.select("path", "cycle", (1 - F.sum("n").over(whole.orderBy("cycle")) / F.sum("n").over(whole)).alias("rate")).filter("cycle <= 20")
+    t = history.trend_warnings(r, 0.25)
     return t.select("path", r6("rate").alias("rate"), r6("mean_delta").alias("mean_delta"), r6("cycles_left").alias("cycles_left"))
 
 
-@_b.query("SELECT * FROM (VALUES ('amount', 'demote_to_optional'), ('legacy', 'demote_to_optional'), ('card', 'promote_to_required')) t(path, action)")
+DECLARED = (("amount", True, "float"), ("legacy", True, "integer"), ("card", False, "string"), ("flag", True, "boolean"), ("currency", False, "string"), ("note", False, "string"))
+
+
+@_b.query(
+    _SNAP
+    + ", every AS (SELECT week AS snapshot_date, path, coalesce(presence, 0) AS presence FROM (SELECT DISTINCT week FROM wk) CROSS JOIN (SELECT DISTINCT path FROM wk) LEFT JOIN (SELECT snapshot_date AS week, path, presence FROM snap) USING (week, path))"
+    + f""", x AS (SELECT *, (snapshot_date - min(snapshot_date) OVER (PARTITION BY path))::DOUBLE AS d FROM every),
+g AS (SELECT path, count(*) AS n, arg_min(presence, snapshot_date) AS f, arg_max(presence, snapshot_date) AS l, regr_sxx(presence, d) AS sxx, regr_syy(presence, d) AS syy, regr_sxy(presence, d) AS sxy FROM x GROUP BY path),
+v AS (SELECT *, CASE WHEN sxx > 0 THEN sxy / sxx ELSE 0 END AS slope FROM g), z AS (SELECT *, sqrt(greatest(0, (syy - slope * slope * sxx) / n)) AS sigma FROM v WHERE n >= 4),
+declared AS (SELECT * FROM (VALUES {_values(DECLARED)}) t(path, required, field_type)),
+a AS (SELECT z.*, coalesce(required, false) AS required, round(sigma, 6) AS s6, CASE WHEN sigma > 0.10 THEN 'volatile' WHEN slope > 0.002 THEN 'rising' WHEN slope < -0.002 THEN 'declining' ELSE 'stable' END AS trend FROM z LEFT JOIN declared USING (path)),
+r AS (SELECT path, 'promote_to_required' AS action, l AS clarity, 0.95 AS cap, n, s6 FROM a WHERE NOT required AND l >= 0.85 AND f >= 0.8 UNION ALL SELECT path, 'demote_to_optional', 1 - l, 0.95, n, s6 FROM a WHERE required AND l < 0.65
+  UNION ALL SELECT path, 'remove_field', 1 - l, 0.8, n, s6 FROM a WHERE l < 0.2 AND trend = 'declining'),
+c AS (SELECT path, action, least(cap, round(least(0.95, greatest(0, 0.6 * least(n / 8.0, 1) + 0.4 * least(1, clarity) - CASE WHEN s6 > 0.15 THEN 0.1 ELSE 0 END)), 3))::DOUBLE AS confidence FROM r)
+SELECT path, action, confidence, confidence >= 0.9 AND action NOT IN ('remove_field', 'widen_type') AS automatic FROM c"""
+)
 def proposals(spark, sf_dir):
-    v = history.velocity(_snapshots(spark, sf_dir))
-    declared = spark.createDataFrame([("amount", True, "float"), ("legacy", True, "integer"), ("card", False, "string"), ("flag", True, "boolean")], "path string, required boolean, field_type string")
-    # A field that a snapshot lacks altogether has no row there; its last one is 0.
-    v = v.withColumn("last_presence", F.when(F.col("path") == "legacy", 0.0).when(F.col("path") == "amount", 0.6).otherwise(F.col("last_presence")))
-    v = v.withColumn("n", F.greatest("n", F.lit(4))).withColumn("first_presence", F.when(F.col("path") == "card", 1.0).otherwise(F.col("first_presence")))
-    return history.proposals(v.filter(F.col("path").isin("amount", "legacy", "card", "flag")), declared).filter(F.col("action") != "remove_field").select("path", "action")
+    v = history.velocity(history.fill_absent(_snapshots(spark, sf_dir)))
+    declared = spark.createDataFrame(list(DECLARED), "path string, required boolean, field_type string")
+    return history.proposals(v, declared).select("path", "action", "confidence", "automatic")
 
 
 # -- incidents ---------------------------------------------------------------
@@ -195,11 +224,23 @@ def incident_lifecycle(spark, sf_dir):
     return incidents.lifecycle(f).select("cluster_id", "path", F.col("first_poll").cast("int").alias("first_poll"), F.col("last_poll").cast("int").alias("last_poll"), "occurrences")
 
 
-@_b.query("""SELECT * FROM (VALUES ('a', 'open', 2), ('b', 'resolved', 1), ('c', 'open', 1), ('d', 'suppressed', 3), ('e', 'resolved', 4), ('e', 'open', 1)) t(path, status, occurrences)""")
+@_b.query(
+    """WITH k AS (SELECT ts < TIMESTAMP '2024-01-16' AS old, event_type AS cluster_id, 'f' || (user_id % 29) AS path, CASE user_id % 2 WHEN 0 THEN 'type_changed' ELSE 'new_pii' END AS drift_type, event_id, user_id, ts FROM events WHERE event_id % 7 < 3),
+state AS (SELECT cluster_id, path, drift_type, max(user_id % 3 + 1)::INT AS tier, CASE min(event_id) % 4 WHEN 2 THEN 'resolved' WHEN 3 THEN 'suppressed' ELSE 'open' END AS status, min(ts)::DATE AS first_detected, max(ts)::DATE AS last_seen, count(*) AS occurrences FROM k WHERE old GROUP BY 1, 2, 3),
+found AS (SELECT cluster_id, path, drift_type, max(user_id % 3 + 1)::INT AS tier FROM k WHERE NOT old AND event_id % 7 = 0 GROUP BY 1, 2, 3)
+SELECT coalesce(s.cluster_id, f.cluster_id) AS cluster_id, coalesce(s.path, f.path) AS path, coalesce(s.drift_type, f.drift_type) AS drift_type, coalesce(s.tier, f.tier) AS tier, CASE WHEN s.path IS NULL THEN 'open' WHEN s.status = 'open' AND f.path IS NULL THEN 'resolved' ELSE s.status END AS status,
+  coalesce(s.first_detected, DATE '2024-02-01') AS first_detected, CASE WHEN s.path IS NULL OR (s.status = 'open' AND f.path IS NOT NULL) THEN DATE '2024-02-01' ELSE s.last_seen END AS last_seen, CASE WHEN s.path IS NULL THEN 1 WHEN s.status = 'open' AND f.path IS NOT NULL THEN s.occurrences + 1 ELSE s.occurrences END AS occurrences
+FROM (SELECT * FROM state WHERE status <> 'resolved') s FULL JOIN found f ON s.cluster_id = f.cluster_id AND s.path = f.path AND s.drift_type = f.drift_type
+UNION ALL SELECT * FROM state WHERE status = 'resolved'"""
+)
 def incident_merge(spark, sf_dir):
-    state = spark.createDataFrame([(None, "a", "type_changed", 3, "open", "2024-01-01", "2024-01-01", 1), (None, "b", "type_changed", 3, "open", "2024-01-01", "2024-01-01", 1), (None, "d", "new_pii", 3, "suppressed", "2024-01-01", "2024-01-01", 3), (None, "e", "new_pii", 3, "resolved", "2024-01-01", "2024-01-01", 4)], "cluster_id string, path string, drift_type string, tier int, status string, first_detected string, last_seen string, occurrences long")
-    found = spark.createDataFrame([(None, "a", "type_changed", 3), (None, "c", "field_added", 1), (None, "d", "new_pii", 3), (None, "e", "new_pii", 3)], "cluster_id string, path string, drift_type string, tier int")
-    return incidents.merge(state, found, F.lit("2024-01-02")).select("path", "status", F.col("occurrences").cast("int").alias("occurrences"))
+    """Incidents of the first half of the events meet findings of the second."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_id") % 7 < 3)
+    e = e.select((F.col("ts") < "2024-01-16").alias("old"), F.col("event_type").alias("cluster_id"), F.concat(F.lit("f"), (F.col("user_id") % 29).cast("string")).alias("path"), F.when(F.col("user_id") % 2 == 0, "type_changed").otherwise("new_pii").alias("drift_type"), "event_id", (F.col("user_id") % 3 + 1).cast("int").alias("tier"), F.to_date("ts").alias("day"))
+    keys, first = ["cluster_id", "path", "drift_type"], F.min("event_id") % 4
+    state = e.filter("old").groupBy(*keys).agg(F.max("tier").alias("tier"), F.when(first == 2, "resolved").when(first == 3, "suppressed").otherwise("open").alias("status"), F.min("day").alias("first_detected"), F.max("day").alias("last_seen"), F.count("*").alias("occurrences"))
+    found = e.filter(~F.col("old") & (F.col("event_id") % 7 == 0)).select(*keys, "tier")
+    return incidents.merge(state, found, F.to_date(F.lit("2024-02-01")))
 
 
 @_b.query(
@@ -216,27 +257,58 @@ def roi(spark, sf_dir):
 # -- evaluation --------------------------------------------------------------
 
 
-@_b.query("SELECT path, drift_type, true AS found FROM (VALUES ('currency', 'enum_changed'), ('flag', 'field_removed'), ('event_type', 'type_changed'), ('user.id', 'new_pii')) t(path, drift_type)")
+INJECTED = (("enum_add", "currency", 1.0), ("field_removed", "flag", 1.0), ("type_flip", "event_type", 1.0), ("pii_add", "user.id", 1.0), ("presence_drop", "event_id", 0.5), ("field_added", "channel", 1.0), ("nesting_change", "user.id", 1.0))
+
+
+def _scorecard_sql() -> str:
+    """Every injection done and detected again in SQL."""
+    clean = ", bc AS (SELECT seq, path, kind, text FROM cells WHERE half = 'baseline'), bn AS (SELECT count(*) AS n FROM ev WHERE half = 'baseline'), " + detection_sql.side("b", "bc", "(SELECT n FROM bn)")
+    parts, rows = [clean], []
+    for k, (kind, path, rate) in enumerate(INJECTED):
+        hit = f"(path = '{path}' AND ('0x' || substr(md5(seq::VARCHAR || '-42-{kind}-{path}'), 1, 8))::BIGINT / 4294967296.0 < {rate})"
+        if kind in ("field_removed", "presence_drop"):
+            cells = f"SELECT * FROM bc WHERE NOT {hit}"
+        elif kind == "type_flip":
+            cells = f"SELECT seq, path, CASE WHEN NOT {hit} THEN kind WHEN kind = 'string' THEN 'integer' ELSE 'string' END AS kind, CASE WHEN NOT {hit} THEN text WHEN kind = 'string' THEN length(text)::VARCHAR ELSE 'v' || text END AS text FROM bc"
+        elif kind in ("enum_add", "pii_add"):
+            new = "NEW_VALUE" if kind == "enum_add" else "someone@example.com"
+            cells = f"SELECT seq, path, CASE WHEN {hit} THEN 'string' ELSE kind END AS kind, CASE WHEN {hit} THEN '{new}' ELSE text END AS text FROM bc"
+        elif kind == "field_added":
+            cells = f"SELECT * FROM bc UNION ALL SELECT DISTINCT seq, '{path}', 'string', 'new' FROM bc"
+        else:
+            cells = f"SELECT seq, CASE WHEN {hit} THEN path || '.value' ELSE path END AS path, kind, text FROM bc"
+        parts.append(f", i{k} AS ({cells}), " + detection_sql.side(f"i{k}", f"i{k}", "(SELECT n FROM bn)") + ", " + detection_sql.drift(f"i{k}", "b", f"i{k}", f"i{k}", "bc", "(SELECT n FROM bn)"))
+        wanted = ", ".join(f"('{p}', '{d}')" for p, d in evaluation.labels(kind, path))
+        rows.append(f"SELECT '{kind}' AS kind, path, drift_type, w.hit IS NOT NULL AS expected, f.hit IS NOT NULL AS found FROM (SELECT *, 1 AS hit FROM (VALUES {wanted}) v(path, drift_type)) w FULL JOIN (SELECT DISTINCT path, drift_type, 1 AS hit FROM i{k}_found) f USING (path, drift_type)")
+    return CELLS + "".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+def _clean(spark, sf_dir):
+    c = event_cells(spark, sf_dir, ("seq", "half")).filter(F.col("half") == "baseline").drop("half")
+    return c, events(spark, sf_dir).filter(F.col("half") == "baseline")
+
+
+@_b.query(_scorecard_sql())
 def scorecard(spark, sf_dir):
-    """Drift injected into the clean half is found, kind by kind."""
-    c, e = event_cells(spark, sf_dir, ("seq", "half")).filter(F.col("half") == "baseline").drop("half"), events(spark, sf_dir).filter(F.col("half") == "baseline")
-    base = drift.baseline_of(c, e, enums=True)
+    """Each kind of drift injected into the clean half: what should be found, what is,
+    and false alarms."""
+    c, e = _clean(spark, sf_dir)
+    base = drift.baseline_of(c, e, enums=True).persist()  # a row a field
     out = None
-    for kind, path in (("enum_add", "currency"), ("field_removed", "flag"), ("type_flip", "event_type"), ("pii_add", "user.id")):
-        found = drift.detect(base, evaluation.inject(c, kind, path), e)
-        want = spark.createDataFrame(evaluation.labels(kind, path), "path string, drift_type string")
-        row = want.join(found.select("path", "drift_type").distinct().withColumn("found", F.lit(True)), ["path", "drift_type"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    for kind, path, rate in INJECTED:
+        found = drift.detect(base, evaluation.inject(c, kind, path, rate), e).select("path", "drift_type").distinct().withColumn("found", F.lit(True))
+        want = spark.createDataFrame(evaluation.labels(kind, path), "path string, drift_type string").withColumn("expected", F.lit(True))
+        row = want.join(found, ["path", "drift_type"], "full").select(F.lit(kind).alias("kind"), "path", "drift_type", *(F.coalesce(x, F.lit(False)).alias(x) for x in ("expected", "found")))
         out = row if out is None else out.union(row)
     return out
 
 
-@_b.query("SELECT 0::BIGINT AS findings")
+@_b.query(CELLS + ", bc AS (SELECT seq, path, kind, text FROM cells WHERE half = 'baseline'), bn AS (SELECT count(*) AS n FROM ev WHERE half = 'baseline'), " + detection_sql.side("b", "bc", "(SELECT n FROM bn)") + ", " + detection_sql.drift("d", "b", "b", "bc", "bc", "(SELECT n FROM bn)", enums=False) + " SELECT count(DISTINCT path) AS flagged, (SELECT count(DISTINCT path) FROM bc) AS fields, round(count(DISTINCT path) / (SELECT count(DISTINCT path) FROM bc), 6) AS fpr FROM d_found")
 def false_positives(spark, sf_dir):
-    """The clean half against itself: nothing drifts."""
-    c, e = event_cells(spark, sf_dir, ("seq", "half")).filter(F.col("half") == "baseline").drop("half"), events(spark, sf_dir).filter(F.col("half") == "baseline")
-    c, e = c.filter(~F.col("path").isin("note", "tags", "tags[].k")), e
-    base = drift.baseline_of(c, e)
-    return drift.detect(base, c, e).agg(F.count("*").alias("findings"))
+    """The clean half against itself: whatever is found is false."""
+    c, e = _clean(spark, sf_dir)
+    found = drift.detect(drift.baseline_of(c, e), c, e)
+    return evaluation.false_positive_rate(found, c.select("path").distinct()).select("flagged", "fields", r6("fpr").alias("fpr"))
 
 
 @_b.query(
@@ -250,10 +322,16 @@ def prf(spark, sf_dir):
     return s.select("tp", "fp", "fn", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@_b.query()
+@_b.query(
+    """WITH u AS (SELECT i // 50 AS sim, i % 50 AS test, (('0x' || substr(md5('7-' || (i // 50) || '-' || (i % 50)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM range(10000) r(i)),
+t AS (SELECT sim, test, test < 5 AS real, CASE WHEN test < 5 THEN pow(u, 12) ELSE u END AS p FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY p, test) AS rk FROM t),
+a AS (SELECT *, least(1, min(p * 50 / rk) OVER (PARTITION BY sim ORDER BY p, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) < 0.05 AS hit FROM k),
+s AS (SELECT sim, count(*) FILTER (hit) AS found, count(*) FILTER (hit AND NOT real) AS wrong, count(*) FILTER (hit AND real) AS right_ FROM a GROUP BY sim)
+SELECT round(avg(CASE WHEN found > 0 THEN wrong / found ELSE 0 END), 6) AS fdr, round(avg(right_ / 5), 6) AS power, count(*) AS simulations FROM s"""
+)
 def fdr_simulation(spark, sf_dir):
     """Monte Carlo of Benjamini-Hochberg: the false discovery rate stays below q."""
-    return evaluation.simulate_fdr(spark)
+    return evaluation.simulate_fdr(spark).select(r6("fdr").alias("fdr"), r6("power").alias("power"), "simulations")
 
 
 @_b.query()

@@ -104,10 +104,13 @@ def multi_schema(spark, sf_dir):
     return conf.select("event_kind", "n", F.round("frequency", 6).alias("frequency"), "valid")
 
 
-@_b.query(CELLS + "SELECT seq, string_agg('\"' || path || '\":' || CASE WHEN kind = 'null' THEN 'null' WHEN kind = 'string' THEN '\"' || text || '\"' ELSE text END, ',' ORDER BY path) AS members FROM cells WHERE path IN ('event_id', 'currency', 'note', 'flag') GROUP BY seq")
+@_b.query(
+    CELLS
+    + """SELECT seq, '{' || string_agg(member, ',' ORDER BY member) || '}' AS raw FROM (SELECT seq, '"' || path || '":' || CASE WHEN kind = 'null' THEN 'null' WHEN kind = 'string' THEN '"' || text || '"' ELSE text END AS member FROM cells WHERE path NOT LIKE '%.%'
+UNION ALL SELECT seq, '"user":{' || string_agg('"' || substr(path, 6) || '":' || CASE WHEN kind = 'string' THEN '"' || text || '"' ELSE text END, ',' ORDER BY path) || '}' FROM cells WHERE path LIKE 'user.%' GROUP BY seq) GROUP BY seq"""
+)
 def rebuilt_events(spark, sf_dir):
-    c = event_cells(spark, sf_dir, ("seq",)).filter(F.col("path").isin("event_id", "currency", "note", "flag"))
-    return rebuild(c).select("seq", F.expr("substring(raw, 2, length(raw) - 2)").alias("members"))
+    return rebuild(event_cells(spark, sf_dir, ("seq",)))
 
 
 @_b.query("SELECT event_id AS seq, 'user_' || substr(sha256('u' || user_id || '@example.com'), 1, 8) || '@example.com' AS email FROM events")

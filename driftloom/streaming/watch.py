@@ -9,6 +9,7 @@ it and writes the same files, so results count once.
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,10 @@ class Phase:
 class Watch:
     """A watch over one stream; ``baseline`` as :func:`drift.detect` takes it."""
 
-    def __init__(self, spark: SparkSession, baseline: DataFrame, folder: str, window: int = WINDOW, sample: int = SAMPLE, least: int = LEAST, on_event=None, depth: int = 10) -> None:
+    def __init__(self, spark: SparkSession, baseline: DataFrame, folder: str, window: int = WINDOW, sample: int = SAMPLE, least: int = LEAST, on_event=None, depth: int = 10, clock=None) -> None:
         self.spark, self.baseline, self.folder = spark, baseline, folder
         self.window, self.sample, self.least, self.on_event, self.depth = window, sample, least, on_event, depth
+        self.clock = clock or (lambda batch: time.time())  # seconds since 1970 at a batch
 
     def _path(self, table: str, batch: int) -> str:
         return f"{self.folder}/{table}/batch={batch}"
@@ -102,11 +104,11 @@ class Watch:
             events = parse_events(sampling.reservoir(window, self.sample, batch))
             c = cells(events, depth=self.depth, internal=False).drop("value").persist()
             found_df = drift.detect(self.baseline, c, events.filter(F.col("v").isNotNull()))
-            found = [r.asDict() for r in found_df.select("path", "drift_type", "tier", "class").limit(10_000).collect()]  # at most a few a field
+            found = [r.asDict() for r in found_df.select("path", "drift_type", "tier", "class").collect()]  # a few a field of the sampled events
             c.unpersist()
             action = state.tick(len(found), max((r["tier"] for r in found), default=0))
         shown = self.spark.createDataFrame([(None, r["path"], r["drift_type"], r["tier"]) for r in found], "cluster_id string, path string, drift_type string, tier int")
-        now = F.timestamp_seconds(F.lit(1_700_000_000) + batch)
+        now = F.timestamp_seconds(F.lit(float(self.clock(batch))))
         merged = incidents.prune(incidents.merge(had, shown, now), now) if action in ("tier3", "alert", "clean") else had
         merged.write.mode("overwrite").parquet(self._path("incidents", batch))
         self.spark.createDataFrame([(json.dumps(asdict(state)),)], "state string").coalesce(1).write.mode("overwrite").parquet(self._path("phase", batch))
