@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_has, bitmap_of, chunks, load, materialize, mix, prefix_sums, span_hash, text_buffer
 
-LENGTH, GRAM, GROUP, BITS, FLUSH = 200, 32, 20_000, 25, 1_000_000
+LENGTH, GRAM, GROUP, BITS, FLUSH = 200, 32, 4096, 25, 1_000_000
 PIECE = 1 << 22  # longer rows go through in pieces that overlap by LENGTH - 1 bytes
 _W = LENGTH - GRAM + 1
 _LOW = np.uint64((1 << 24) - 1)
@@ -200,8 +200,16 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int = LENGTH
     return out
 
 
+def _name(*parts: bytes) -> int:
+    """A repeat's id: a hash of its bytes."""
+    h = hashlib.blake2b(digest_size=8)
+    for p in parts:
+        h.update(p)
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of the documents at the edges of repeats; rows come sorted by gram."""
+    """Ranges of the documents at the edges of repeats; rows come sorted by key."""
 
     def solve(rows: list[dict]) -> list[tuple]:
         rights = [r["context"][r["offset"] :] for r in rows]
@@ -209,20 +217,20 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for r, spans in zip(rows, maximal_repeats(rights, lefts), strict=True):
             if r["single"]:
-                p = r["at"] + r["offset"]
-                got += [(r["id"], r["body"], p - left, p + right) for left, right in set(spans)]
+                p, k = r["at"] + r["offset"], r["offset"]
+                got += [(r["id"], r["body"], p - left, p + right, _name(r["context"][k - left : k + right])) for left, right in set(spans)]
         return got
 
     def batch_of(got: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=["id", "body", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=["id", "body", "lo", "hi", "repeat"])
 
     open_rows: list[dict] = []
     kinds = None
     for batch in batches:
-        kinds = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.int64()]
+        kinds = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         got: list[tuple] = []
         for r in batch.to_pylist():
-            if open_rows and r["gram"] != open_rows[0]["gram"]:
+            if open_rows and r["key"] != open_rows[0]["key"]:
                 got += solve(open_rows)
                 open_rows = []
             open_rows.append(r)
@@ -232,15 +240,20 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(got)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, hash, id, body, lo, single) of every window of the contexts."""
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of groups under the keys of both halves of low..high, as far as they hold a window there."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            ctx = np.frombuffer(batch.column("context")[r].as_py(), np.uint8)
-            at = np.arange(len(ctx) - LENGTH + 1)
-            h = span_hash(prefix_sums(ctx), at, at + LENGTH)
-            same = lambda c: batch.column(c).take(pa.array(np.full(len(at), r)))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([same("gram"), pa.array(h.view(np.int64)), same("id"), same("body"), pa.array(at + (batch.column("at")[r].as_py() or 0)), same("single")], names=["gram", "hash", "id", "body", "lo", "single"])
+        rows, keys, lows, highs = [], [], [], []
+        for r, (k, context, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("offset", "context", "low", "high")), strict=True)):
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                if max(a, LENGTH - k) <= min(b, len(context) - k):
+                    rows.append(r)
+                    keys.append(_name(bytes((a, b)), context[k - (LENGTH - b) : k + a]))
+                    lows.append(a)
+                    highs.append(b)
+        rest = batch.select(["id", "body", "at", "offset", "context", "single"]).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), *rest.columns], names=["key", "low", "high", *rest.schema.names])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +278,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(id, body, lo, hi): byte ranges, overlapping, that repeats cover; ``body``
-    is a hash of the text, which tells rows of one id apart."""
+    """(id, body, lo, hi, repeat): byte ranges, overlapping, that repeats cover; ``body``
+    is a hash of the text, which tells rows of one id apart.  ``repeat`` names the bytes
+    of a range, so the occurrences of one repeat are told by one name; where an
+    occurrence has a longer repeat around the same anchor, it is told by that one."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -281,15 +296,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
     posted = rows.mapInArrow(_post(whole, edge), f"id {kind}, body long, gram long, extent long, at array<long>, length int, offset int, context binary")
     posted = materialize(posted.join(known, ["gram", "extent"]), "op5-posted")
-    wholes = posted.filter("whole").select("id", "body", "length", F.explode("at").alias("lo")).select("id", "body", "lo", (F.col("lo") + F.col("length")).alias("hi"))
+    wholes = posted.filter("whole").select("id", "body", "length", F.xxhash64("gram", "extent").alias("repeat"), F.explode("at").alias("lo")).select("id", "body", "lo", (F.col("lo") + F.col("length")).alias("hi"), "repeat")
     one = posted.filter("edge").groupBy("gram", "extent").agg(F.first("id").alias("id"), F.first("body").alias("body"), F.first(F.get("at", F.lit(0))).alias("at"), F.first("offset").alias("offset"), F.first("context").alias("context"), F.first("large").alias("large"), (~F.first("whole")).alias("single"))
     one = materialize(one, "op5-edges")
-    small = one.filter(~F.col("large")).repartition("gram").sortWithinPartitions("gram").select("gram", "id", "body", "at", "offset", "context", "single")
-    spans = small.mapInArrow(_edges, f"id {kind}, body long, lo long, hi long")
-    large = materialize(one.filter("large").mapInArrow(_windows, f"gram long, hash long, id {kind}, body long, lo long, single boolean"), "op5-windows")
-    twice = large.groupBy("gram", "hash").agg(F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-    more = large.filter("single").join(twice, ["gram", "hash"]).select("id", "body", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return wholes.union(spans).union(more)
+    own = ("id", "body", "at", "offset", "context", "single")
+    solved = lambda rows: rows.repartition("key").sortWithinPartitions("key").select("key", *own).mapInArrow(_edges, f"id {kind}, body long, lo long, hi long, repeat long")
+    one = one.select(F.col("gram").alias("key"), F.lit(GRAM).alias("low"), F.lit(LENGTH).alias("high"), *own, "large")
+    out = wholes.union(solved(one.filter(~F.col("large"))))
+    large = one.filter("large").drop("large")
+    halves = f"key long, low int, high int, id {kind}, body long, at long, offset int, context binary, single boolean"
+    while not large.isEmpty():  # at most 8 times, as low..high halves
+        split = materialize(large.mapInArrow(_halves, halves), "op5-halves")
+        sizes = split.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+        split = materialize(split.join(sizes, "key"), "op5-split")
+        out = out.union(solved(split.filter(F.col("size") <= group)))
+        large = split.filter(F.col("size") > group).drop("size")
+        # A key that is a whole window: every member has it.
+        p = F.col("at") + F.col("offset")
+        ended = large.filter((F.col("low") == F.col("high")) & F.col("single"))
+        out = out.union(ended.select("id", "body", (p - (LENGTH - F.col("low"))).alias("lo"), (p + F.col("low")).alias("hi"), F.col("key").alias("repeat")))
+        large = large.filter(F.col("low") < F.col("high"))
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:

@@ -222,6 +222,25 @@ def test_op5_substrings(docs, corpus, group):
         assert r["n_spans"] == int((np.diff(np.r_[False, gone].astype(int)) == 1).sum())
 
 
+def test_op5_groups_of_repeats(spark):
+    """Occurrences of one passage, each with other surroundings, come under one repeat."""
+    passage = prose(60, "shared")
+    df = spark.createDataFrame([(k, f"{prose(40, f"before{k}")} {passage} {prose(40, f"after{k}")}") for k in range(12)], "doc_id long, text string")
+    whole = len(passage.encode())
+    for group in (4096, 3):
+        rows = substrings.repeated_spans(df, group=group).collect()
+        assert max(r["hi"] - r["lo"] for r in rows) >= 200 and all(r["hi"] - r["lo"] >= 200 for r in rows)
+        by = {}
+        for r in rows:
+            by.setdefault(r["repeat"], set()).add(r["id"])
+        assert set(range(12)) in by.values()
+        covered = {}
+        for r in rows:
+            a, b = covered.get(r["id"], (r["lo"], r["hi"]))
+            covered[r["id"]] = (min(a, r["lo"]), max(b, r["hi"]))
+        assert all(whole <= b - a <= whole + 30 for a, b in covered.values()), sorted(b - a - whole for a, b in covered.values())
+
+
 def test_op5_pieces_of_a_long_text(monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 1000)
     text = prose(2000, 1).encode()
