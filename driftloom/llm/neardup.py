@@ -244,10 +244,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     marks = found.join(first, "label").select(F.col("id").alias(key[0]), F.col("th").alias(key[1]), stays.alias("__op2_stays"), "rows")
     gone = materialize(marks.filter(~F.col("__op2_stays")).select(key), "op2-gone")
     again = materialize(marks.filter(F.col("__op2_stays") & (F.col("rows") > 1)).select(key), "op2-again")
-    same = docs[id_col].eqNullSafe(F.col(key[0])) & (F.xxhash64(docs[text_col]) == F.col(key[1]))
-    left = docs.join(gone.union(again), same, "left_anti")
-    one = docs.join(again, same).dropDuplicates(key).select(*(docs[c] for c in docs.columns))
-    return left.union(one)
+    # A bitmap of fixed size tells most rows that they stay, so only the others' texts are joined.
+    marked = gone.union(again)
+    row = lambda i, t: F.xxhash64(i, t)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(marked.select(row(*map(F.col, key)).alias("h")), "h", BITS))
+
+    def split(asked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = bitmap_has(shared.value, batch.column("__op2_h").to_numpy().view(np.uint64), BITS)
+                yield batch.drop_columns(["__op2_h"]).filter(pa.array(hit == asked))
+
+        return docs.withColumn("__op2_h", row(F.col(id_col), F.xxhash64(F.col(text_col)))).mapInArrow(run, docs.schema)
+
+    few = materialize(split(True), "op2-asked")
+    same = few[id_col].eqNullSafe(F.col(key[0])) & (F.xxhash64(few[text_col]) == F.col(key[1]))
+    left = few.join(marked, same, "left_anti")
+    one = few.join(again, same).dropDuplicates(key).select(*(few[c] for c in few.columns))
+    return split(False).union(left).union(one)
 
 
 QUERIES = {"op2_near_dup": op2_near_dup}
