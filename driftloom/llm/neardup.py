@@ -264,5 +264,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     return split(False).union(left).union(one)
 
 
+#: Exact Jaccard similarities of all texts that share a shingle, and their closure.
+SQL_TEXT = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS x FROM d),
+k AS (SELECT doc_id, len(x) AS n, md5(array_to_string(x, chr(10))) AS c, x FROM s),
+c AS (SELECT c, any_value(n) AS n, any_value(x) AS x, min(doc_id) AS low FROM k WHERE n > 0 GROUP BY c),
+e AS (SELECT c, n, unnest(x) AS g FROM c),
+p AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.g = b.g AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT c, c FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT r.a AS c, min(c.low) AS component_id FROM r JOIN c ON r.b = c.c GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id, n = 0 OR doc_id = component_id AS kept FROM k LEFT JOIN m USING (c)"""
+
 QUERIES = {"op2_near_dup": op2_near_dup}
-SQL: dict[str, str] = {}
+SQL = {"op2_near_dup": SQL_TEXT}

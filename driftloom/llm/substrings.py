@@ -335,5 +335,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+#: Every window of 200 bytes, as hexadecimal digits, by its hash (cut from blocks of 256 starts).
+SQL_TEXT = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+z AS (SELECT rid, j, substr(h, 2 * j + 1, 910) AS x FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199, 256)) AS j FROM d)),
+w AS (SELECT rid, j + i AS i, md5_number(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT rid, j, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM z)),
+s AS (SELECT rid, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) t USING (k)),
+b AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM b),
+r AS (SELECT rid, min(i) AS a, max(i) + 200 AS e FROM g GROUP BY rid, run),
+q AS (SELECT rid, a, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS was FROM r),
+o AS (SELECT rid, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS upto, string_agg(substr(any_h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS head
+  FROM (SELECT q.*, d.h AS any_h FROM q JOIN d USING (rid)) GROUP BY rid)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(from_hex(coalesce(head, '') || substr(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN o USING (rid)"""
+
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op5_substring_dedup": SQL_TEXT}
