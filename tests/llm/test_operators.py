@@ -206,6 +206,38 @@ def test_op4_languages(spark):
     assert got[400]["lang_pred"] == got[401]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_op4_against_brute_force(spark, corpus):
+    def grams(t):
+        c = re.sub(" +", " ", "".join(x.lower() if x.isalpha() and len(x.lower()) == 1 else x if x.isalpha() else " " for x in t))
+        for n in langid.ORDERS:
+            for i in range(len(c) - n + 1):
+                h = 0x9E3779B1 * n & 0xFFFFFFFF
+                for x in c[i : i + n]:
+                    h = (h ^ ord(x)) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield (h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - langid.BITS)
+
+    learn = [(k, t, "xyz"[k % 3]) for k, t, _ in corpus[:40]]
+    counts, docs_of = {x: Counter() for x in "xyz"}, Counter()
+    for _, t, x in learn:
+        counts[x].update(grams(t))
+        docs_of[x] += 1
+    total = {x: sum(counts[x].values()) + langid.SMOOTH * (1 << langid.BITS) for x in "xyz"}
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(spark.createDataFrame(learn, schema))
+    asked = spark.createDataFrame([(k, t, None) for k, t, _ in corpus if k not in (89,)], schema)
+    for r in langid.predict(asked, model, keep=("doc_id", "text")).collect():
+        if not any(x.isalpha() for x in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 1.0)
+            continue
+        own = Counter(grams(r["text"]))
+        z = {x: math.log((docs_of[x] + 1) / (len(learn) + 3)) + sum(n * math.log((counts[x][g] + langid.SMOOTH) / total[x]) for g, n in own.items()) for x in "xyz"}
+        top = max(z.values())
+        assert r["score"] == pytest.approx(1 / sum(math.exp(v - top) for v in z.values()), abs=1e-2)
+        if r["score"] > 0.6:
+            assert r["lang_pred"] == max(z, key=z.get)
+
+
 @pytest.mark.parametrize("group", [20_000, 2])
 def test_op5_substrings(docs, corpus, group):
     texts = [(k, (t or "").encode()) for k, t, _ in corpus]
@@ -446,6 +478,40 @@ def test_op10_targets_and_sample(spark, corpus):
     assert again == {(r["doc_id"], r[c + "copies"]) for r in got}
 
 
+def test_op10_rest_is_a_pareto_sample(spark, corpus):
+    """Unequal inclusion by size: levels by bisection, ranks and the cut by hand."""
+    df = spark.createDataFrame([(k, t, s) for k, t, s in corpus], "doc_id long, text string, source string")
+    got = [r.asDict() for r in mixing.mix_sources(df, share=0.9).collect()]
+    c, text, copies = mixing.P, {k: t or "" for k, t, _ in corpus}, {}
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        target, total = own[0][c + "target"], own[0][c + "source_size"]
+        whole = math.floor(target / total) if total else 0
+        rest, low, high = target - whole * total, 0.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(1.0, mid * r[c + "size"]) * r[c + "size"] for r in own) < rest else (low, mid)
+        ranked = []
+        for r in own:
+            copies[r["doc_id"]] = whole
+            if rest > 0 and r[c + "size"]:
+                u, p = (int(hashlib.md5(f"{r['doc_id']}-{mixing.SEED}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48, min(1.0, high * r[c + "size"])
+                q = 0.0 if p > 1 - 1e-9 else u / (1 - u) / (p / (1 - p))
+                ranked.append((q, r["doc_id"], hashlib.md5(text[r["doc_id"]].encode()).hexdigest(), r[c + "size"]))
+        upto = 0
+        for _, k, _, n in sorted(ranked):
+            upto += n
+            copies[k] += upto - n / 2 <= rest
+    assert {r["doc_id"]: r[c + "copies"] for r in got} == copies
+
+
+def test_op10_long_documents_are_certain(spark):
+    rows = [(k, "word " * (900 if k == 7 else 10), "s") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r[mixing.P + "copies"] for r in mixing.mix_sources(df, share=0.5).collect()}
+    assert got[7] == 1 and sum(got[k] * (900 if k == 7 else 10) for k in got) == pytest.approx(0.5 * (199 * 10 + 900), abs=5)
+
+
 def test_materialized_tables_are_real(spark):
     df = materialize(spark.range(5).withColumnRenamed("id", "x"), "test")
     assert sorted(r["x"] for r in df.collect()) == [0, 1, 2, 3, 4]
