@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``; all but the last return the
 columns of ``documents``.
+
+Defined results: what the operators' docstrings say of nulls, ties, repeated rows and
+very long texts holds for their stages.  Without labels of both kinds every document
+scores 0.5, below the threshold, and goes; an empty ``benchmark`` contaminates nothing;
+an empty ``documents`` gives no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -41,9 +46,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents that it takes, with their number of copies."""
+    """The mix: documents that it takes, with their number of copies (which replaces
+    a column of that name)."""
     mixed = mixing.mix_sources(docs)
-    return mixed.filter(F.col(mixing.P + "copies") > 0).select(*docs.columns, F.col(mixing.P + "copies").alias("copies"))
+    return mixed.filter(F.col(mixing.P + "copies") > 0).select(*(c for c in docs.columns if c != "copies"), F.col(mixing.P + "copies").alias("copies"))
 
 
 STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("decontaminate", decontaminate_stage), ("secrets", secrets_stage), ("mix", mix_stage)]
