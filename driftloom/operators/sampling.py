@@ -44,6 +44,19 @@ def last_n(df: DataFrame, keys: list[str], n: int, order: str = "seq") -> DataFr
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
+def cluster_windows(df: DataFrame, key: str, known: tuple[str, ...] = (), n: int = 2000, most: int = 100, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(windows, unrouted): the newest n rows of each cluster, and the rows without one.
+    Clusters are the known values of ``key`` and, in the order in which they first
+    come, new ones up to ``most`` in all; ties go by name.  Rows without a key have no
+    cluster."""
+    new = df.filter(F.col(key).isNotNull() & ~F.col(key).isin(*known)).groupBy(F.col(key).alias("__c")).agg(F.min(order).alias("__first"))
+    open_ = new.orderBy("__first", "__c").limit(max(0, most - len(known))).select("__c")
+    if known:
+        open_ = open_.union(df.sparkSession.createDataFrame([(k,) for k in known], "__c string"))
+    names = F.broadcast(open_)  # at most ``most`` rows, or the known ones
+    return last_n(df.join(names, F.col(key) == F.col("__c"), "left_semi"), [key], n, order), df.join(names, F.col(key) == F.col("__c"), "left_anti")
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

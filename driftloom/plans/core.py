@@ -316,6 +316,22 @@ def drift_summary(spark, sf_dir):
     return drift.report(_findings(spark, sf_dir))
 
 
+@_b.query(CELLS + detection_sql.DRIFT + " SELECT path, old_type, new_type, tier FROM d_found WHERE drift_type = 'type_changed'")
+def drift_type(spark, sf_dir):
+    return _findings(spark, sf_dir).filter(F.col("drift_type") == "type_changed").select("path", "old_type", "new_type", "tier")
+
+
+@_b.query(CELLS + detection_sql.DRIFT + " SELECT path, tier, class FROM d_found WHERE drift_type = 'enum_changed'")
+def drift_enum(spark, sf_dir):
+    return _findings(spark, sf_dir).filter(F.col("drift_type") == "enum_changed").select("path", "tier", "class")
+
+
+@_b.query(CELLS + detection_sql.DRIFT + " SELECT path, drift_type, round(after, 6) AS after, new_type, tier FROM d_found WHERE drift_type IN ('field_added', 'new_pii')")
+def drift_new_fields(spark, sf_dir):
+    f = _findings(spark, sf_dir).filter(F.col("drift_type").isin("field_added", "new_pii"))
+    return f.select("path", "drift_type", r6("after").alias("after"), "new_type", "tier")
+
+
 @_b.query(
     f"""WITH g AS (SELECT min(event_type) AS gone FROM events), b AS (SELECT event_type AS c, count(*) / (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
 left_ AS (SELECT event_type AS c FROM events, g WHERE ts >= TIMESTAMP '2024-01-16' AND event_type <> gone), t AS (SELECT count(*) AS n FROM left_), o AS (SELECT c, count(*) AS k FROM left_ GROUP BY c),
@@ -386,6 +402,17 @@ def last_n_window(spark, sf_dir):
     return sampling.last_n(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("event_id").alias("seq")), ["event_type"], 2000)
 
 
+@_b.query(
+    """WITH e AS (SELECT event_id AS seq, event_type || '-' || user_id % 40 AS cluster FROM events), f AS (SELECT cluster FROM e GROUP BY cluster ORDER BY min(seq), cluster LIMIT 100)
+SELECT * FROM (SELECT cluster, true AS routed, seq FROM e SEMI JOIN f USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY seq DESC) <= 20) UNION ALL SELECT cluster, false, seq FROM e ANTI JOIN f USING (cluster)"""
+)
+def cluster_windows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select(F.concat_ws("-", "event_type", (F.col("user_id") % 40).cast("string")).alias("cluster"), F.col("event_id").alias("seq"))
+    kept, unrouted = sampling.cluster_windows(e, "cluster", n=20)
+    return kept.select("cluster", F.lit(True).alias("routed"), "seq").union(unrouted.select("cluster", F.lit(False), "seq"))
+
+
 @_b.query("SELECT event_type, user_id, count(*) AS n, (row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id))::INT AS rank FROM events GROUP BY 1, 2 QUALIFY rank <= 5")
 def topk_users(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
