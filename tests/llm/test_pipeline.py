@@ -17,8 +17,8 @@ def write(spark, path, rows, labels, items):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
 
 
-def test_stages(spark, tmp_path, monkeypatch):
-    """Without labels every score is 0.5, so the threshold is put below it here."""
+def test_stages(spark, tmp_path):
+    """Every stage but the first alone, on all rows; the classifier's runs in test_run."""
     write(spark, tmp_path, ROWS + ODD, [], [(1, ITEM), (2, None)])
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = corpus_pipeline.near_dup_stage(spark, docs, str(tmp_path))
