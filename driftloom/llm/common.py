@@ -61,6 +61,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a task gets of a join by ``split_rows`` and ``copy_rows``.
+PART = 1024
+
+
+def hot_keys(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, parts) of the keys that more than PART rows have: fewer than a PARTth of
+    the rows, which the planner broadcasts only if they are small."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > PART)
+    return materialize(counted.select(key, F.ceil(F.col("rows") / PART).cast("int").alias("parts")), label)
+
+
+def split_rows(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with ``part``: a hot key's rows are dealt over its parts by ``by``."""
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))
+    return rows.join(hot, key, "left").withColumn("part", part).drop("parts")
+
+
+def copy_rows(table: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``table``, which has a row a key, with a copy for each part of a hot one."""
+    last = F.coalesce(F.col("parts"), F.lit(1)) - 1
+    return table.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), last))).drop("parts")
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32(the id as text) mod n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

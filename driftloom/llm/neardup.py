@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, bitmap_of, chunks, gram_hashes, load, materialize, mix, row_starts, text_buffer, word_hashes
+from .common import bitmap_has, bitmap_of, chunks, copy_rows, gram_hashes, hot_keys, load, materialize, mix, row_starts, split_rows, text_buffer, word_hashes
 from .components import connected_components
 
 SHINGLE, K, MISS, BITS = 5, 64, 1e-7, 24
@@ -124,9 +124,13 @@ def _first_long(cid: Column) -> Column:
 
 
 def _ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b, ...) with the column of ``table`` for both ends."""
-    for x in "ab":
-        pairs = pairs.join(table.select(F.col("cid").alias(x), F.col(column).alias(f"{column}_{x}")), x)
+    """``pairs`` (a, b) with the column of ``table`` for both ends.  An end of many
+    pairs, such as the leader of a large group, has its pairs dealt over parts."""
+    pairs = materialize(pairs.select("a", "b"), "op2-pairs")
+    hot = {x: hot_keys(pairs, x, "op2-hot") for x in "ab"}
+    for x, other in ("ab", "ba"):
+        ends = copy_rows(table.select(F.col("cid").alias(x), F.col(column).alias(f"{column}_{x}")), hot[x], x)
+        pairs = split_rows(pairs, hot[x], x, other).join(ends, [x, "part"]).drop("part")
     return pairs
 
 
@@ -142,7 +146,9 @@ def _families(lists: DataFrame, sets: DataFrame, weights: DataFrame, t: int, lin
     the class whose tokens are the most common; ``apart`` are the shingles that only
     one of the two has."""
     led = lists.join(weights, "cid").groupBy("token").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"))
-    pairs = _ends(lists.join(led, "token").filter(F.col("a") != F.col("cid")).select("a", F.col("cid").alias("b")).distinct(), sets, "class")
+    hot = hot_keys(lists, "token", "op2-hot")
+    met = split_rows(lists, hot, "token", "cid").join(copy_rows(led, hot, "token"), ["token", "part"])
+    pairs = _ends(met.filter(F.col("a") != F.col("cid")).select("a", F.col("cid").alias("b")).distinct(), sets, "class")
     apart = F.concat(F.array_except("class_a.set", "class_b.set"), F.array_except("class_b.set", "class_a.set"))
     return pairs.select("a", "b", _is_link(t, link).alias("linked"), F.size("class_b.set").alias("n"), apart.alias("apart"))
 
@@ -161,7 +167,9 @@ def _second_pairs(families: DataFrame, labels: DataFrame, link: tuple[int, int])
     mark = labels.withColumnRenamed("v", "b")
     f = families.join(mark, "b", "left").select("a", "b", "n", "apart", F.coalesce("label", "b").alias("label"))
     open_ = f.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("a")
-    f = materialize(f.join(open_, "a").select(F.xxhash64("a").alias("family"), F.xxhash64("a", "b").alias("member"), "b", "n", "apart", "label"), "op2-open")
+    hot = hot_keys(families, "a", "op2-hot")
+    f = split_rows(f, hot, "a", "b").join(copy_rows(open_, hot, "a"), ["a", "part"])
+    f = materialize(f.select(F.xxhash64("a").alias("family"), F.xxhash64("a", "b").alias("member"), "b", "n", "apart", "label"), "op2-open")
     each = f.select("family", "member", F.explode("apart").alias("shingle"))
     common = each.groupBy("family", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     got = each.join(common, ["family", "shingle"]).groupBy("family", "member").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("x"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, decontam, html, langid, lm, mixing, neardup, quality, secrets, substrings, trigram
+from driftloom.llm import ann, common, decontam, html, langid, lm, mixing, neardup, quality, secrets, substrings, trigram
 from driftloom.llm.common import bitmap_has, bitmap_of, gram_hashes, materialize, word_hashes, words
 from driftloom.llm.components import connected_components
 
@@ -73,10 +73,13 @@ def test_bitmap(spark):
     assert bitmap_has(bits, asked, 17).tolist() == [True] * 5 + [False] * 2
 
 
-def test_components(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (200, 100)]
+@pytest.mark.parametrize("part", [common.PART, 4])
+def test_components(spark, monkeypatch, part):
+    """Chains and a hub, whose edges are dealt over parts where few rows make a hot key."""
+    monkeypatch.setattr(common, "PART", part)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (200, 100)] + [(100, k) for k in range(300, 330)]
     got = {r["v"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in (100, 101, 102, 200))
+    assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in (100, 101, 102, 200, *range(300, 330)))
 
 
 def test_trigram_queries_are_necessary():
@@ -135,8 +138,10 @@ def test_op2_components(docs, corpus, link):
         assert got[k]["kept"] == (root(k) == k)
 
 
-def test_op2_many_near_copies(spark):
+@pytest.mark.parametrize("part", [common.PART, 4])
+def test_op2_many_near_copies(spark, monkeypatch, part):
     """A text edited in many places: links between edits that the text itself lacks."""
+    monkeypatch.setattr(common, "PART", part)
     base = [f"w{k}" for k in range(120)]
     rows = []
     for k in range(150):
