@@ -14,7 +14,8 @@ only if at least half of it fits), so a source misses its target by half a
 document at most.
 
 No source is sorted whole: the level comes from counts by size, ranks are counted
-into 65,536 bins a source, and only the bin in which the target falls is ordered.
+into 65,536 bins a source, which are summed in blocks of 256, and only the bin in
+which the target falls is ordered.
 The cut lies near a rank of 1, where the bins are finest for any p.  The table of
 sources is a dimension (a row a source); windows over it run in one task.  Windows
 over sizes hold a row for each size that a source's documents have.
@@ -34,7 +35,7 @@ from .common import load, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2.0, "mix-1"
-BINS = 1 << 16
+BINS, BLOCK = 1 << 16, 1 << 8
 P = "__op10_"  # names of helper columns
 
 
@@ -81,6 +82,15 @@ def _rank(u: Column, size: Column, rest: Column, level: Column) -> Column:
     return F.when((rest > 0) & (size > 0), u * (1 - p) / ((1 - u) * p))
 
 
+def _stop(bins: DataFrame) -> DataFrame:
+    """(source, stop, before) of bins (source, at, words, rest, base): the first bin up
+    to which the words after ``base`` reach the rest, and the words before it."""
+    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("at"))
+    found = bins.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest"))
+    found = found.groupBy("source").agg(F.min_by(F.struct("at", (F.col("upto") - F.col("words")).alias("before")), "at").alias("e"))
+    return found.select("source", F.col("e.at").alias("stop"), F.col("e.before").alias("before"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: float = MOST, weights=WEIGHTS, seed: str = SEED) -> DataFrame:
     """``docs`` with helper columns size, source_size, target, copies (prefix P)."""
     size = size_of(docs[text_col])
@@ -101,12 +111,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = slim["source"].eqNullSafe(t["source"]) & (t["rest"] > 0) & (slim["size"] > 0)
     ranked = slim.join(t, near, "inner").select(slim["source"], "size", "id", "tie", "rest", _rank(F.col("u"), F.col("size"), F.col("rest"), F.col("level")).alias("q"))
     ranked = ranked.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
-    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    edge = bins.select("source", "bin", "rest", "words", (upto - F.col("words")).alias("before"), upto.alias("upto"))
-    # The bin in which the midpoint rule stops: the first whose words reach the rest.
-    edge = edge.filter(F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min_by(F.struct("bin", "before"), "bin").alias("e"))
-    edge = edge.select(F.col("source").alias("edge_source"), F.col("e.bin").alias("edge_bin"), F.col("e.before").alias("before"))
+    bins = materialize(ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "op10-bins")
+    # The bin in which the midpoint rule stops: the first whose words reach the rest,
+    # looked for among blocks of bins and then in one block.
+    block = _stop(bins.groupBy("source", F.floor(F.col("bin") / BLOCK).alias("at")).agg(F.sum("words").alias("words"), F.first("rest").alias("rest")).withColumn("base", F.lit(0).cast("long")))
+    block = block.select(F.col("source").alias("of"), F.col("stop").alias("block"), F.col("before").alias("base"))
+    within = bins.join(block, bins["source"].eqNullSafe(block["of"]) & (F.floor(bins["bin"] / BLOCK) == block["block"]))
+    edge = _stop(within.select("source", F.col("bin").alias("at"), "words", "rest", "base"))
+    edge = edge.select(F.col("source").alias("edge_source"), F.col("stop").alias("edge_bin"), "before")
     inside = ranked.join(edge, ranked["source"].eqNullSafe(edge["edge_source"]) & (ranked["bin"] == edge["edge_bin"]), "inner")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "id", "tie").rowsBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("mid", upto - F.col("size") / 2).filter(F.col("mid") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("q", "id", "tie")).alias("last"))
