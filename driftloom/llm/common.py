@@ -72,9 +72,9 @@ def hot_keys(rows: DataFrame, key: str, label: str) -> DataFrame:
     return materialize(counted.select(key, F.ceil(F.col("rows") / PART).cast("int").alias("parts")), label)
 
 
-def split_rows(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+def split_rows(rows: DataFrame, hot: DataFrame, key: str, *by: str) -> DataFrame:
     """``rows`` with ``part``: a hot key's rows are dealt over its parts by ``by``."""
-    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))
+    part = F.coalesce(F.pmod(F.xxhash64(*by), F.col("parts")).cast("int"), F.lit(0))
     return rows.join(hot, key, "left").withColumn("part", part).drop("parts")
 
 

@@ -222,10 +222,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, link: tuple[int, in
 
     named = classes.select("cid", "id").join(labels.withColumnRenamed("v", "cid"), "cid")
     roots = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    linked = named.join(roots, "label").select("cid", "component_id", "label")
+    hot = hot_keys(labels, "label", "op2-hot")
+    linked = split_rows(named, hot, "label", "cid").join(copy_rows(roots, hot, "label"), ["label", "part"]).select("cid", "component_id", "label")
     known = classes.select("cid", "id").join(linked, "cid", "left").select("cid", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("label", "cid").alias("label"))
     by_class = materialize(known, "op2-components")
-    out = signed.select("id", "th", "n", "cid").join(by_class, "cid", "left")
+    hot = hot_keys(some, "cid", "op2-hot")
+    out = split_rows(signed.select("id", "th", "n", "cid"), hot, "cid", "id", "th").join(copy_rows(by_class, hot, "cid"), ["cid", "part"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "th", "cid", "n", component.alias("component_id"), "label")
 
@@ -249,7 +251,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     found = materialize(found, "op2-rows")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    marks = found.join(first, "label").select(F.col("id").alias(key[0]), F.col("th").alias(key[1]), stays.alias("__op2_stays"), "rows")
+    hot = hot_keys(found, "label", "op2-hot")
+    met = split_rows(found, hot, "label", "id", "th").join(copy_rows(first, hot, "label"), ["label", "part"])
+    marks = met.select(F.col("id").alias(key[0]), F.col("th").alias(key[1]), stays.alias("__op2_stays"), "rows")
     gone = materialize(marks.filter(~F.col("__op2_stays")).select(key), "op2-gone")
     again = materialize(marks.filter(F.col("__op2_stays") & (F.col("rows") > 1)).select(key), "op2-again")
     # A bitmap of fixed size tells most rows that they stay, so only the others' texts are joined.

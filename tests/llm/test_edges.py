@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, decontam, html, langid, lm, mixing, neardup, quality, secrets, substrings
+from driftloom.llm import ann, common, decontam, html, langid, lm, mixing, neardup, quality, secrets, substrings
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 ROWS = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, None, None, None, None), (None, "a b c d e f g", "de", "s", 1), (None, None, None, None, None), (3, "", "en", "", 0), (4, LONG, "en", "s", 9), (4, "other text of the same id, not equal", "fr", "t", 3), (5, "\x00 \t\n", "en", "t", 0)]
@@ -31,7 +31,9 @@ def test_near_duplicates(docs):
         assert neardup.keep_one(docs).columns == docs.columns
 
 
-def test_keep_one_by_row(spark):
+@pytest.mark.parametrize("part", [common.PART, 1])
+def test_keep_one_by_row(spark, monkeypatch, part):
+    monkeypatch.setattr(common, "PART", part)
     text, other = "a b c d e f g", "quite another text of the same id here"
     rows = [(1, text), (1, text), (None, text), (4, text), (4, other), (None, "null id twice and no other row"), (None, "null id twice and no other row"), (2, None), (3, "")]
     got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
