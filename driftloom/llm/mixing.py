@@ -127,11 +127,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = materialize(cut.select(F.col("source").alias(P + "source"), *(F.col(c).alias(P + c) for c in ("source_size", "target", "whole", "rest", "level", "edge_bin", "last"))), "op10-cuts")
 
     c = lambda n: F.col(P + n)
-    q = _rank(u, c("size"), c("rest"), c("level"))
-    at = F.floor(q / (1 + q) * BINS).cast("int")
-    row = F.struct(q.alias("q"), docs[id_col].alias("id"), tie.alias("tie"))
-    extra = F.when(q.isNull(), 0).when(c("edge_bin").isNull() | (at < c("edge_bin")), 1).when((at == c("edge_bin")) & c("last").isNotNull() & (row <= c("last")), 1).otherwise(0)
-    joined = docs.withColumn(P + "size", size).join(cut, docs[source_col].eqNullSafe(cut[P + "source"]), "left")
+    joined = docs.withColumn(P + "size", size).withColumn(P + "u", u).join(cut, docs[source_col].eqNullSafe(cut[P + "source"]), "left")
+    joined = joined.withColumn(P + "q", _rank(c("u"), c("size"), c("rest"), c("level")))
+    at = F.floor(c("q") / (1 + c("q")) * BINS).cast("int")
+    row = F.struct(c("q").alias("q"), docs[id_col].alias("id"), tie.alias("tie"))
+    extra = F.when(c("q").isNull(), 0).when(c("edge_bin").isNull() | (at < c("edge_bin")), 1).when((at == c("edge_bin")) & c("last").isNotNull() & (row <= c("last")), 1).otherwise(0)
     return joined.select(*(docs[x] for x in docs.columns), P + "size", P + "source_size", P + "target", (c("whole") + extra).alias(P + "copies"))
 
 
