@@ -104,12 +104,17 @@ def psi(base: DataFrame, observed: DataFrame, keys: list[str], value: str, bins:
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", order: list[str] | None = None, family: list[str] | None = None, q: float = FDR) -> DataFrame:
     """``tests`` with p_adjusted, significant and suppressed, within each family.
-    The running minimum from the largest p down; rows without p stay null."""
+    The running minimum from the largest p down; rows without p stay null.
+
+    Both frames grow row by row (a frame that ends at the last row is scanned anew for
+    each); the first row of the way down holds the family's count.  A family is sorted
+    within one task."""
     family, order = family or [], order or []
     known = F.col(p).isNotNull()
-    by = Window.partitionBy(*family, known).orderBy(p, *order)
-    ranked = tests.withColumn("__rank", F.row_number().over(by)).withColumn("__m", F.count("*").over(Window.partitionBy(*family, known)))
-    low = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    group = Window.partitionBy(*family, known)
+    down = group.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = tests.withColumn("__rank", F.row_number().over(group.orderBy(p, *order))).withColumn("__m", F.max("__rank").over(down).cast("long"))
+    low = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(down)
     out = ranked.withColumn("p_adjusted", F.when(known, F.least(F.lit(1.0), low)))
     return out.withColumn("significant", F.col("p_adjusted") < q).withColumn("suppressed", (F.col(p) < q) & ~(F.col("p_adjusted") < q)).drop("__rank", "__m")
 
