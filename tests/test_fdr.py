@@ -60,3 +60,17 @@ def test_bh_fdr_of_large_families(spark, tmp_path):
     assert len(rows) == n == len({r["id"] for r in rows})
     assert Counter(r["suppressed"] for r in rows) == Counter(p < 0.01 and not a < 0.01 for p, a in want.values())
     assert all(r["fam"] == r["id"] % 5 and r["p_adjusted"] == pytest.approx(want[r["id"]][1], abs=1e-6) and r["significant"] == (want[r["id"]][1] < 0.01) for r in rows)
+
+
+def test_suppression_of_large_families(spark, tmp_path):
+    n = 200_000
+    spark.range(n).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    with limited(spark):
+        rows = catalog.QUERIES["suppression"](spark, str(tmp_path)).collect()
+    assert sorted(r["fam"] for r in rows) == [0, 1, 2, 3, 4]
+    for r in rows:
+        p = families(n, 100900.0)[r["fam"]]
+        hit = [a < 0.005 for a in adjusted(p)]
+        held = sum(x < 0.005 and not h for x, h in zip(p, hit, strict=True))
+        assert (r["tests"], r["significant"], r["suppressed"]) == (len(p), sum(hit), held)
+        assert r["rate"] == pytest.approx(held / (held + sum(hit)) if held + sum(hit) else 0.0, abs=1e-6)
