@@ -110,13 +110,13 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", order: list[str] | None =
     each); the first row of the way down holds the family's count.  A family is sorted
     within one task."""
     family, order = family or [], order or []
-    known = F.col(p).isNotNull()
+    known = F.col("__known")  # by name, for an unnamed key is dealt out again for each window
     group = Window.partitionBy(*family, known)
     down = group.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tests.withColumn("__rank", F.row_number().over(group.orderBy(p, *order))).withColumn("__m", F.max("__rank").over(down).cast("long"))
+    ranked = tests.withColumn("__known", F.col(p).isNotNull()).withColumn("__rank", F.row_number().over(group.orderBy(p, *order))).withColumn("__m", F.max("__rank").over(down).cast("long"))
     low = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(down)
     out = ranked.withColumn("p_adjusted", F.when(known, F.least(F.lit(1.0), low)))
-    return out.withColumn("significant", F.col("p_adjusted") < q).withColumn("suppressed", (F.col(p) < q) & ~(F.col("p_adjusted") < q)).drop("__rank", "__m")
+    return out.withColumn("significant", F.col("p_adjusted") < q).withColumn("suppressed", (F.col(p) < q) & ~(F.col("p_adjusted") < q)).drop("__known", "__rank", "__m")
 
 
 def calibration(pairs: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
