@@ -5,9 +5,10 @@ itself (one feature for all words), and byte n-grams (n = 2..4,
 the subwords), hashed to ``1 << BITS`` buckets; case and punctuation stay, as
 they tell junk.  A bucket has a vector of ``DIM`` numbers; a document is the mean
 of its features' vectors, each of the three kinds having a third of the weight, and a softmax layer gives the label.  Vectors and layer
-are learned together by minibatch stochastic gradient descent in numpy on the
-driver, on at most ``SAMPLE`` labelled documents (those with the smallest hashes
-of the id; the bound is this parameter), whose features executors extract.
+are learned together by minibatch stochastic gradient descent in numpy, in one
+task of an executor, on at most ``SAMPLE`` labelled documents (those with the smallest
+hashes of the id; the bound is this parameter).  The task keeps their features in
+unnamed files of its own temp folder, which it maps; the driver gets the model alone.
 
 The trained model is one number a bucket (vector times layer), of fixed size,
 broadcast; scoring adds up a chunk's gathered numbers by document.
@@ -21,7 +22,9 @@ label, or with a null one, are not learned from but scored.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +63,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarra
             yield 2, ((x * np.uint32(0xC2B2AE35))[ok] >> np.uint32(32 - BITS)).astype(np.int32), owner[:m][ok]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(label, distinct features, their shares) of each labelled document."""
     for batch in batches:
         buf, offs = text_buffer(batch.column("text"))
@@ -71,7 +74,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, at = np.unique(np.concatenate([f for _, f, _ in got]), return_inverse=True)
             each = np.repeat([1 / (KINDS * size[k]) for k, _, _ in got], [len(f) for _, f, _ in got])
             share = np.bincount(at, each, len(ids)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))], names=["label", "ids", "share"])
+            yield batch.column("label")[i].as_py(), ids, share
 
 
 def fit(labels: np.ndarray, ids: list[np.ndarray], shares: list[np.ndarray]) -> tuple[np.ndarray, float]:
@@ -110,18 +113,38 @@ def fit(labels: np.ndarray, ids: list[np.ndarray], shares: list[np.ndarray]) ->
     return vec @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
+def _mapped(file: IO[bytes], kind: type, ends: list[int]) -> list[np.ndarray]:
+    """The parts of a file of numbers that end there."""
+    file.flush()
+    whole = np.asarray(np.memmap(file, kind, "r")) if ends[-1] else np.empty(0, kind)
+    return np.split(whole, ends[:-1])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model, as one row, of all labelled documents."""
+    y, ends = [], []
+    with tempfile.TemporaryFile() as one, tempfile.TemporaryFile() as two:
+        for label, ids, share in _extract(batches):
+            one.write(ids.tobytes())
+            two.write(share.tobytes())
+            y.append(label)
+            ends.append(len(ids) + (ends[-1] if ends else 0))
+        if not y:
+            return
+        i, s = _mapped(one, np.int32, ends), _mapped(two, np.float32, ends)
+        order = sorted(range(len(y)), key=lambda k: (len(i[k]), int(i[k].sum()), y[k]))  # as rows come in any order
+        weight, bias = fit(np.array(y)[order], [i[k] for k in order], [s[k] for k in order])
+    yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], names=["weight", "bias"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Learn from at most ``sample`` of the labelled documents given."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__op6_id"), F.col(label_col).cast("int").alias("label"))
     few = known.groupBy("__op6_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("__op6_id"), "__op6_id").limit(sample)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(few), F.col(id_col) == F.col("__op6_id"))
     rows = rows.groupBy("__op6_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = rows.select("label", "text", "__op6_id").mapInArrow(_extract, "label int, ids array<int>, share array<float>").toArrow()
-    ids, shares, y = (got.column(c).combine_chunks() for c in ("ids", "share", "label"))
-    cut = lambda a: np.split(a.flatten().to_numpy(), a.offsets.to_numpy()[1:-1] - a.offsets.to_numpy()[0]) if len(a) else []
-    i, s, y = cut(ids), cut(shares), y.to_numpy()
-    order = sorted(range(len(y)), key=lambda k: (len(i[k]), int(i[k].sum()), int(y[k])))  # as tasks end in any order
-    return fit(y[order], [i[k] for k in order], [s[k] for k in order])
+    got = rows.select("label", "text").repartition(1).mapInArrow(_learn, "weight binary, bias double").collect()
+    return (np.frombuffer(got[0]["weight"], np.float32), got[0]["bias"]) if got else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
 def _scores(text: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:

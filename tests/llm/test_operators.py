@@ -9,6 +9,7 @@ from collections import Counter
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +320,21 @@ def test_op6_without_labels(spark):
     assert quality.score(df, quality.train(df, spark.createDataFrame([], "doc_id long, quality int"))).first()["score"] == 0.5
 
 
+def test_op6_learns_off_the_driver(spark, monkeypatch):
+    """The driver gets the model alone, which is the one that all rows in order give."""
+    rows = [(k, prose(50 + k % 7, k) if k % 2 else " ".join(["odd"] * k), int(k % 2)) for k in range(60)] + [(60, "", 0), (61, None, 1)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    got = list(quality._extract([pa.RecordBatch.from_pydict({"label": [y for _, _, y in rows], "text": pa.array([t for _, t, _ in rows], pa.string())})]))
+    got.sort(key=lambda x: (len(x[1]), int(x[1].sum()), x[0]))
+    want = quality.fit(np.array([x[0] for x in got]), [x[1] for x in got], [x[2] for x in got])
+    monkeypatch.setattr(quality, "fit", None)
+    weight, bias = quality.train(df, labels)
+    assert np.allclose(weight, want[0], atol=1e-6) and np.isclose(bias, want[1]) and np.abs(weight).max() > 0
+    empty = spark.createDataFrame([(k, "") for k in range(4)], "doc_id long, text string")
+    assert np.isfinite(quality.train(empty, labels)[0]).all()
+
+
 def test_op7_article_only():
     page = """<!DOCTYPE html><title>t</title><script>var t="</p>";</script><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>Head &amp; more</h1>
       <p><b>One <i>two</i><br>three<p>caf&eacute; &#x41;&lt;</p><form>f</form><section class="comments"><p>nice!</p></section></article><footer>&copy;</footer>"""
